@@ -97,10 +97,11 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
             if name not in INLINE or any(x[0] not in INLINE for x in stack[k:]):
                 if name in INLINE:
                     continue  # a stray inline end across a block boundary
-                flush()
+                if name not in HIDDEN:
+                    flush()
             pop(k)
             continue
-        if name not in INLINE:
+        if name not in INLINE and name not in HIDDEN:
             flush()
             #: An open paragraph, item or cell ends where the next begins; inline elements go with it.
             ends = ("p",) if name in CLOSES_P else ()
