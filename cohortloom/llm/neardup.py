@@ -7,8 +7,8 @@ least value wins. So every coordinate fills, and the coordinates are concentrate
 independent MinHash. Bands of the sketch are buckets; candidates are confirmed on the full sets.
 
 Work stays linear in large groups: equal sets collapse first; a bucket links each member to its
-smallest id only (a star), and a second pass tests just those pairs of a bucket that are still in
-different components. Nothing is capped, no bucket is gathered in one task.
+smallest id only (a star), and a second pass looks for links between different components of a bucket
+with exact prefix and position filters. Nothing is capped, no bucket is gathered in one task.
 
 Defined results: null or wordless texts have the empty set and link with nothing; fewer words than
 the shingle length make one shingle; rows that repeat a doc_id count as one document; other columns
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, components, id_and_text
@@ -97,6 +97,29 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataF
     return both.where((100 + percent) * common >= percent * (na + nb)).select("a", "b")
 
 
+def _prefix_pairs(ids: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components among ids (rep, comp) that can reach the similarity: an exact filter.
+
+    Shingles are ordered from rare to common. Sets that reach the similarity share a shingle in their
+    prefixes, and the places of their first common shingle bound the intersection (prefix and position
+    filters). A heavily edited copy has its own rare shingles first, so it meets few of its large group.
+    """
+    run, schema = _setter(n)
+    sets = docs.join(ids, docs.doc_id == ids.rep, "left_semi").mapInArrow(run, schema).dropDuplicates(["id"])
+    each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("t"))
+    shared = each.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    each = each.join(shared, "t")
+    own = Window.partitionBy("id")
+    each = each.withColumn("k", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("df", "t")))
+    each = each.withColumn("pos", F.col("n") - F.col("k") + F.col("r"))
+    each = each.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    each = checkpointed(each.join(ids, each.id == ids.rep).select("t", "id", "n", "pos", "comp"))
+    x, y = each.toDF("t", "a", "na", "pa", "ca"), each.toDF("t", "b", "nb", "pb", "cb")
+    most = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    can = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
+    return x.join(y, (x.t == y.t) & (F.col("ca") != F.col("cb")) & (F.col("b") < F.col("a")) & can).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 48, rows: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; links at 100 * intersection >= percent * union.
 
@@ -112,15 +135,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     members = checkpointed(banded.join(centres, "key"))
     tested = members.where("rep <> c").select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct()
     links = checkpointed(_confirmed(tested, docs, shingle, percent))
-    #: The second pass: pairs of one bucket that the stars left in different components.
+    #: The second pass: links between different components of a bucket, which the stars need not show.
     comp = components(links)
     wide = members.where("n > 2").join(comp, members.rep == comp.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = wide.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    wide = checkpointed(wide.join(mixed, "key", "left_semi"))
-    x, y = wide.toDF("key", "b", "cb"), wide.toDF("key", "a", "ca")
-    rest = x.join(y, "key").where("cb <> ca and b < a").select("a", "b").distinct()
-    rest = checkpointed(rest.join(tested, ["a", "b"], "left_anti"))
-    more = _confirmed(rest, docs, shingle, percent)
+    open_ids = checkpointed(wide.join(mixed, "key", "left_semi").select("rep", "comp").distinct())
+    more = checkpointed(_confirmed(_prefix_pairs(open_ids, docs, shingle, percent), docs, shingle, percent))
     comp = components(links.union(more))
     classes = same.join(comp, same.rep == comp.id, "left").select("h1", "h2", F.col("n_shingles").alias("n_set"), F.coalesce("component", "rep").alias("class_id"))
     cond = (sk.h1 == classes.h1) & (sk.h2 == classes.h2) & (sk.n_shingles == classes.n_set)
