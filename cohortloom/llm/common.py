@@ -61,6 +61,9 @@ def _one_round(edges: DataFrame) -> DataFrame:
     return small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("x").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
 
 
+EDGES_A_TASK = 200_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every node that has an edge (a, b); component is the smallest id reachable.
 
@@ -70,10 +73,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = checkpointed(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     print_of = lambda e: tuple(e.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)")), F.sum((F.xxhash64("a", "b") % 1000003))).first())
     seen = print_of(now)
+    #: A round has at most twice the first one's edges; many near-empty tasks cost more than the edges.
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, 1 + 2 * seen[0] // EDGES_A_TASK)
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = checkpointed(_one_round(now))
+        now = checkpointed(_one_round(now).coalesce(tasks))
         if (then := print_of(now)) == seen:
             break
         seen = then

@@ -36,16 +36,20 @@ def sketch(values: np.ndarray, t: int, seed: int = 0) -> np.ndarray:
     A coordinate's top byte pair holds the round, the rest the fraction; equal coordinates mean that
     the same element won the same bin in the same round.
     """
-    out = np.full(t, np.iinfo(np.uint64).max, _U)
-    for i in range(2 * t):
-        h = mix(values + _U((0x9E3779B97F4A7C15 * (i + 1 + seed)) & 0xFFFFFFFFFFFFFFFF))
-        if i < t:
-            bins = ((h >> _U(40)) * _U(t) >> _U(24)).astype(np.int64)
-            np.minimum.at(out, bins, (mix(h) >> _U(16)) | _U(i << 48))
-            if out.max() < _U(1 << 63) and not (out == np.iinfo(np.uint64).max).any():
-                break
-        elif out[i - t] == np.iinfo(np.uint64).max:
-            out[i - t] = (mix(h) >> _U(16)).min() | _U(i << 48)
+    empty = np.iinfo(np.uint64).max
+    out = np.full(t, empty, _U)
+    #: Rounds are placed a block at a time: later rounds never change a filled coordinate.
+    step = int(np.ceil(t * (np.log(t) + 1) / len(values)))
+    for i in range(0, t, step):
+        rounds = np.arange(i, min(t, i + step), dtype=_U)[:, None]
+        h = mix(values + (rounds + _U(1 + seed)) * _U(0x9E3779B97F4A7C15))
+        bins = ((h >> _U(40)) * _U(t) >> _U(24)).astype(np.int64)
+        np.minimum.at(out, bins.ravel(), ((mix(h) >> _U(16)) | (rounds << _U(48))).ravel())
+        if out.max() != empty:
+            return out
+    for j in np.flatnonzero(out == empty):
+        h = mix(values + _U(0x9E3779B97F4A7C15 * (int(j) + t + 1 + seed) & 0xFFFFFFFFFFFFFFFF))
+        out[j] = (mix(h) >> _U(16)).min() | _U((int(j) + t) << 48)
     return out
 
 
