@@ -17,6 +17,7 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ from .common import checkpointed, components, id_and_text
 from .text import mix, shingle_sets
 
 _U = np.uint64
+BROADCAST_IDS = 1_000_000
 
 
 def sketch(values: np.ndarray, t: int, seed: int = 0) -> np.ndarray:
@@ -80,25 +82,59 @@ def _sketcher(n: int, bands: int, rows: int):
 def _setter(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column("text").to_pylist(), n)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
+            sets = [s.view(np.int64) for s in shingle_sets(map(_unpacked, batch.column("z").to_pylist()), n)]
+            yield pa.record_batch([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
     return run, "id long, s array<long>"
 
 
+def _unpacked(z: bytes) -> str:
+    return zlib.decompress(z).decode("utf-8", "surrogatepass")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        z = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column("text").to_pylist()]
+        yield pa.record_batch([batch.column("doc_id"), pa.array(z, pa.binary())], names=["id", "z"])
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, z): the packed whole text of each id of ids, once. A packed text is about a quarter of its shingles' size.
+
+    The ids are broadcast only if there are at most BROADCAST_IDS (8 MB); more of them meet the texts in a shuffle.
+    """
+    ids = ids.distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs.doc_id == ids.id, "left_semi").mapInArrow(_packed, "id long, z binary").dropDuplicates(["id"])
+
+
+def _verifier(n: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, right = batch.column("b").to_pylist(), batch.column("zb").to_pylist()
+            #: Rows of one b mostly follow each other; its set is then made once.
+            starts = [not i or b[i] != b[i - 1] for i in range(len(b))]
+            sets = shingle_sets((_unpacked(z) for z, new in zip(right, starts, strict=True) if new), n)
+            ok = []
+            for x, new in zip(shingle_sets(map(_unpacked, batch.column("za").to_pylist()), n), starts, strict=True):
+                if new:
+                    y = next(sets)
+                common = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+                ok.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run, "a long, b long"
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.join(ids, docs.doc_id == ids.id, "left_semi")
-    run, schema = _setter(n)
-    sets = checkpointed(texts.mapInArrow(run, schema).dropDuplicates(["id"]))
-    left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    na, nb = F.size("sa"), F.size("sb")
-    both = both.where(100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where((100 + percent) * common >= percent * (na + nb)).select("a", "b")
+    pairs = checkpointed(pairs)
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    left = texts.select(F.col("id").alias("a"), F.col("z").alias("za"))
+    right = texts.select(F.col("id").alias("b"), F.col("z").alias("zb"))
+    run, schema = _verifier(n, percent)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, schema)
 
 
 def _prefix_pairs(ids: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -109,7 +145,7 @@ def _prefix_pairs(ids: DataFrame, docs: DataFrame, n: int, percent: int) -> Data
     filters). A heavily edited copy has its own rare shingles first, so it meets few of its large group.
     """
     run, schema = _setter(n)
-    sets = docs.join(ids, docs.doc_id == ids.rep, "left_semi").mapInArrow(run, schema).dropDuplicates(["id"])
+    sets = _texts(docs, ids.select(F.col("rep").alias("id"))).mapInArrow(run, schema)
     each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("t"))
     shared = each.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     each = each.join(shared, "t")
