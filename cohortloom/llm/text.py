@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _U = np.uint64
 _POWERS = 1 << 14
 
