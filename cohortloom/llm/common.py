@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,16 @@ def fold_of(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5, F.lit(1)).cast("int")
 
 
+SLICE_ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """All rows of the batches in batches of at most `rows`, so that a worker holds few texts and results at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder; a folder of our own only where none is set (tests)."""
     sc = df.sparkSession.sparkContext

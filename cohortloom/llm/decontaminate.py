@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, ship
+from .common import checkpointed, id_and_text, ship, slices
 from .text import ALNUM, blocks, mix, shingles, word_hashes
 
 _U = np.uint64
@@ -71,7 +71,7 @@ def _item_rows(n: int):
     """item_id, its shingles, its word count if under n (else 0)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, sets, few = [], [], []
             for i, t in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = word_hashes([t.encode("utf-8", "surrogatepass")], ALNUM)[0]
@@ -86,7 +86,7 @@ def _item_rows(n: int):
 
 def _item_sketch_rows():
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, sketch = [], []
             for i, s in zip(batch.column("item_id").to_pylist(), batch.column("s").to_pylist(), strict=True):
                 v = np.array(s, np.int64).view(_U)
@@ -104,7 +104,7 @@ def _document_rows(n: int, short: list[int], known: np.ndarray | None):
     """doc_id, coordinate for each coordinate of a document's sketch (only the known ones, if known is given), with the shingles."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, found, sets = [], [], []
             for i, (s, few) in zip(batch.column("doc_id").to_pylist(), _sets(batch.column("text").to_pylist(), n, short), strict=True):
                 c = np.concatenate([coordinates(s, size_class(len(s))), mix(s), mix(few)])
@@ -124,7 +124,7 @@ def _searched(n: int, short: list[int], items: list[tuple[int, np.ndarray]], ske
     sets = dict(items)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for i, (s, few) in zip(batch.column("doc_id").to_pylist(), _sets(batch.column("text").to_pylist(), n, short), strict=True):
                 c = np.concatenate([coordinates(s, size_class(len(s))), mix(s), mix(few)])
@@ -147,7 +147,7 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, percent: int
     ship(docs.sparkSession)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["item_id"])
     run, schema = _item_rows(n)
-    items = items.mapInArrow(run, schema)
+    items = checkpointed(items.mapInArrow(run, schema))
     size, lengths = items.agg(F.sum(F.size("s").cast("long") * F.when(F.size("s") < SMALL, 1).otherwise(CLASSES)), F.collect_set("few")).first()
     short = sorted(x for x in lengths if x)
     run, schema = _item_sketch_rows()

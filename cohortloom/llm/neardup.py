@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, id_and_text
+from .common import checkpointed, components, id_and_text, slices
 from .text import mix, shingle_sets
 
 _U = np.uint64
@@ -60,7 +60,7 @@ def _sketcher(n: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = mix(np.arange(1, bands + 1, dtype=_U))
-        for batch in batches:
+        for batch in slices(batches):
             size, h1, h2, keys = [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), n):
                 size.append(len(s))
@@ -81,7 +81,7 @@ def _sketcher(n: int, bands: int, rows: int):
 
 def _setter(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [s.view(np.int64) for s in shingle_sets(map(_unpacked, batch.column("z").to_pylist()), n)]
             yield pa.record_batch([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
@@ -93,7 +93,7 @@ def _unpacked(z: bytes) -> str:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         z = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column("text").to_pylist()]
         yield pa.record_batch([batch.column("doc_id"), pa.array(z, pa.binary())], names=["id", "z"])
 
@@ -111,7 +111,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _verifier(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             b, right = batch.column("b").to_pylist(), batch.column("zb").to_pylist()
             #: Rows of one b mostly follow each other; its set is then made once.
             starts = [not i or b[i] != b[i - 1] for i in range(len(b))]

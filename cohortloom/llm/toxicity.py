@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, ship
+from .common import fold_of, ship, slices
 
 FIT_ROWS = 25_000
 SHORTEST, LONGEST = 4, 7
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     sample = _sample(docs, labels, fit_rows)
 
     def rows(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sig, toxic, size, terms = [], [], [], []
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 t, n, s = terms_of(text)
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def marks(batches):
-        for batch in batches:
+        for batch in slices(batches):
             f = [shared.value.features(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("toxic"), pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64())], names=["toxic", "a", "b"])
 
@@ -244,7 +244,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             s = [shared.value.score(t or "") for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -262,7 +262,7 @@ def non_toxic(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = [shared.value.score(t or "") < 0.5 for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
