@@ -6,6 +6,15 @@ zstandard dictionary primed with common identifiers and the surrounding text; it
 the compressed size less that of nothing. What the context or the dictionary could have produced costs
 few bytes; a string that stays incompressible and mixes letters and digits is reported.
 
+A candidate is a maximal run of base64 or URL-safe characters, with all that dots join to it (the parts of
+a JWT), where a part has 16 characters or more. It is near a word that it holds, that ends at most `NEAR`
+code points before its start, or that starts at most `NEAR` after its end; its own length has no limit.
+Each part of 16 or more is measured; if one is novel, the whole candidate is the span. A candidate that
+holds the word (and has none near before it) is measured on each side of its first word: the span starts
+after the word, or at the candidate's start if the side before is novel, and goes to the candidate's end.
+A candidate of which fixed patterns leave no letter or digit is not reported again. A secret farther than
+`NEAR` from every word is found by the fixed patterns only.
+
 Offsets count code points, ends are exclusive. Defined results: a null or empty text has no spans;
 repeated rows are scanned alike; other columns are ignored, or kept by `redacted`.
 """
@@ -30,6 +39,9 @@ ASSIGNED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE = ("secret", "token", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key", "client_secret", "credential", "bearer", "authorization", "signing_key", "connection_string")
 CONTEXT = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
+#: A candidate's characters, and what dots join to it.
+JOINED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=~-")
+DOTTED = re.compile(r"(?:\.[A-Za-z0-9+/_=~-]+)*")
 NEAR, AROUND, NOVEL = 48, 2048, 0.7
 #: Identifiers that often surround secrets in code and settings.
 IDENTIFIERS = (
@@ -62,25 +74,61 @@ def marginal_bytes(candidate: str, around: str) -> int:
     return len(press.compress(candidate.encode())) - len(press.compress(b""))
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the dotted strings that have a part of at least 16 characters, whole, in order; linear in the text."""
+    out, done = [], 0
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        if a < done:
+            continue
+        while a - 1 > done and text[a - 1] == "." and text[a - 2] in JOINED:
+            a -= 1
+            while a > done and text[a - 1] in JOINED:
+                a -= 1
+        done = DOTTED.match(text, b).end()
+        out.append((a, done))
+    return out
+
+
+def _novel(text: str, a: int, b: int, base: list[tuple[int, int, str]]) -> bool:
+    """Whether a part of text[a:b] is novel and the fixed patterns leave a letter or digit of text[a:b]."""
+    at, left = a, []
+    for s, e, _ in sorted(x for x in base if x[0] < b and a < x[1]):
+        left.append(text[at : max(at, s)])
+        at = max(at, e)
+    if not any(x.isalnum() for piece in [*left, text[at:b]] for x in piece):
+        return False
+    for m in CANDIDATE.finditer(text, a, b):
+        word = m[0]
+        if sum(x.isdigit() for x in word) < 2 or sum(x.isalpha() for x in word) < 2 or len(set(word)) < 8:
+            continue
+        around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
+        if marginal_bytes(word, around) >= NOVEL * len(word):
+            return True
+    return False
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     low = text.lower()
     if not any(k in low for k in SENSITIVE):
         return []
-    out, done = [], 0
-    for c in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, max(done, c.end()), min(len(text), c.end() + NEAR + 4096)):
-            a, b = m.span()
-            if a > c.end() + NEAR:
-                break
-            done = b
-            word = m[0]
-            if any(s < b and a < e for s, e, _ in base):
-                continue
-            if sum(x.isdigit() for x in word) < 2 or sum(x.isalpha() for x in word) < 2 or len(set(word)) < 8:
-                continue
-            around = text[max(0, a - AROUND) : a] + text[b : b + AROUND]
-            if marginal_bytes(word, around) >= NOVEL * len(word):
+    words = [c.span() for c in CONTEXT.finditer(text)]
+    out, i = [], 0
+    for a, b in candidates(text):
+        while i < len(words) and words[i][1] <= a:
+            i += 1
+        #: Word i is the first that ends behind the candidate's start; words are made of its characters, so it is inside or behind.
+        if i and a - words[i - 1][1] <= NEAR:
+            if _novel(text, a, b, base):
+                out.append((a, b, "novel"))
+        elif i < len(words) and words[i][0] < b:
+            s, e = words[i]
+            if _novel(text, a, s, base):
                 out.append((a, b, "novel"))
+            elif _novel(text, e, b, base):
+                out.append((e, b, "novel"))
+        elif i < len(words) and words[i][0] - b <= NEAR and _novel(text, a, b, base):
+            out.append((a, b, "novel"))
     return out
 
 

@@ -230,6 +230,22 @@ def test_secrets(spark):
     assert hexed not in clean.text and "hunter22" not in clean.text and clean.n_chars == len(clean.text)
 
 
+def test_secrets_are_whole():
+    r = random.Random(12)
+    b64 = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    long, short, jwt = b64(9000), b64(40), f"{b64(60)}.{b64(5)}.{b64(3000)}.{b64(43)}"
+    for text, secret in [
+        (f"private_key = {long} end", long), (f"Bearer {jwt} end", jwt), (f"here {short}, the bearer", short), (f"{jwt} is a credential", jwt),
+        (f"x {long[:4000]}_token_{short} end", f"{long[:4000]}_token_{short}"), (f"credential_{short} end", f"_{short}"),
+    ]:
+        a = text.index(secret)
+        assert [s for s in secrets.spans(text) if s[2] == "novel"] == [(a, a + len(secret), "novel")]
+        assert secrets.redact(text) == text.replace(secret, "[secret]")
+    far = "and so on " * 6
+    for text in (f"bearer {far}{short}", f"{short} {far}bearer", f"{short} alone"):
+        assert secrets.spans(text) == []
+
+
 def test_languages(spark):
     r = random.Random(8)
     letters = {"aa": "aeioulmn", "bb": "zxkqwvbr", "cc": "éöüßtsdh"}
