@@ -5,8 +5,8 @@ one or stays, as a random bit for (j, character) says. Texts at a small edit dis
 again after each edit, so edit distance becomes Hamming distance. A fingerprint samples the embedding
 at fixed steps: `PER_OCTAVE` in each doubling of the step, so that texts of all lengths share their
 samples; each sample is one hex digit of the character's hash. Likeness is the share of equal samples,
-each weighted by the length that it stands for. Near texts are found by banding samples of one octave
-and verified on the whole fingerprint.
+each weighted by the length that it stands for. Near texts (`near_groups`) are found by
+banding samples drawn by weight and verified on the whole fingerprint.
 
 The walk of many texts runs in step (numpy), whole texts always.
 
@@ -19,13 +19,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, id_and_text, ship
+from .common import checkpointed, components, id_and_text, slices
+from .text import mix
 
 PER_OCTAVE, FIRST_OCTAVE, OCTAVES = 32, 5, 40
 PERIOD = 1 << 12
@@ -189,33 +191,94 @@ def _rank(k, bounds, n):
     return F.size(F.filter(bounds, lambda c: c <= k))
 
 
+STRIDE, MISS = 1.1, 1e-5
+TOTAL = np.cumsum(WEIGHTS)
+
+
+def _lengths() -> np.ndarray:
+    """Print lengths at which bands are drawn: each the longest of at most STRIDE times the weight before it, or the next one."""
+    out = [1]
+    while out[-1] < len(TOTAL):
+        out.append(max(out[-1] + 1, int(np.searchsorted(TOTAL, STRIDE * TOTAL[out[-1] - 1], "right"))))
+    return np.array(out[:-1])
+
+
+LENGTHS = _lengths()
+
+
+def bands_of(least: float, band: int) -> int:
+    """How many bands miss a pair of that likeness with a chance of at most MISS, wherever its unequal samples are."""
+    share = 1 - STRIDE * (1 - least)
+    if share <= 0:
+        raise ValueError(f"a likeness of {least} is too small for bands")
+    return 1 if share >= 1 else int(np.ceil(np.log(MISS) / np.log1p(-(share**band))))
+
+
+@lru_cache(maxsize=512)
+def _drawn(level: int, bands: int, band: int) -> np.ndarray:
+    """The samples of each band, drawn by weight from the first LENGTHS[level] samples."""
+    n = LENGTHS[level]
+    return np.random.Generator(np.random.PCG64([20240607, level])).choice(n, (bands, band), p=WEIGHTS[:n] / TOTAL[n - 1])
+
+
+def band_keys(p: str, least: float, band: int) -> np.ndarray:
+    """The bucket keys of a fingerprint: all bands at each length that a print alike by `least` can have as its own last one."""
+    if not p:
+        return np.empty(0, np.int64)
+    raw, bands = np.frombuffer(p.encode(), np.uint8), bands_of(least, band)
+    fits = np.flatnonzero((LENGTHS <= len(p)) & (TOTAL[LENGTHS - 1] * (STRIDE + 1e-9) >= least * TOTAL[len(p) - 1]))
+    out = []
+    for level in fits.tolist():
+        key = mix(np.arange(1, bands + 1, dtype=np.uint64) + np.uint64(level << 32))
+        for column in raw[_drawn(level, bands, band)].T:
+            key = mix(key * np.uint64(0x9DDFEA08EB382D69) + column)
+        out.append(key.view(np.int64))
+    return np.concatenate(out)
+
+
 def near_groups(docs: DataFrame, least: float = 0.8, band: int = 8) -> DataFrame:
     """(doc_id, component_id): documents whose fingerprints are alike by at least `least`, by banded samples and verification.
 
-    Bands of `band` samples of one octave are buckets; each member is verified against the bucket's smallest id.
+    Bands of `band` samples are buckets. They are drawn by weight from the print's first samples, at lengths that
+    grow by a tenth, as many as miss a pair at `least` with a chance of at most 1e-5, short prints like long ones.
+    Each member is verified against the bucket's smallest id; then all pairs of a bucket whose members are still in
+    different components (n unlike texts of one bucket so cost up to n * n / 2 verifications). Texts of null id link only to those of equal fingerprint.
     """
     docs = id_and_text(docs)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             p = fingerprints(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), pa.array(p, pa.string())], names=["doc_id", "p"])
 
-    ship(docs.sparkSession)
-    prints = checkpointed(docs.mapInArrow(run, "doc_id long, p string").groupBy("p").agg(F.min("doc_id").alias("rep")))
-    pieces = F.expr(f"transform(sequence(0, greatest(0, int(length(p) / {band}) - 1)), i -> concat(i, ':', substring(p, i * {band} + 1, {band})))")
-    banded = prints.where("p <> ''").select("rep", F.explode(pieces).alias("key"))
-    centres = banded.groupBy("key").agg(F.min("rep").alias("c"), F.count("*").alias("n")).where("n > 1")
-    pairs = banded.join(centres, "key").where("rep <> c").select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct()
-    both = pairs.join(prints.select(F.col("rep").alias("a"), F.col("p").alias("pa")), "a").join(prints.select(F.col("rep").alias("b"), F.col("p").alias("pb")), "b")
+    def deal(batches):
+        for batch in slices(batches):
+            keys = [band_keys(p, least, band) for p in batch.column("p").to_pylist()]
+            yield pa.record_batch([batch.column("rep"), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "keys"])
 
     def verify(batches):
         for batch in batches:
             keep = [likeness(x, y) >= least for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    links = both.select("a", "b", "pa", "pb").mapInArrow(verify, "a long, b long")
+    prints = checkpointed(docs.mapInArrow(run, "doc_id long, p string").groupBy("p").agg(F.min("doc_id").alias("rep")))
+
+    def verified(pairs):
+        both = pairs.join(prints.select(F.col("rep").alias("a"), F.col("p").alias("pa")), "a").join(prints.select(F.col("rep").alias("b"), F.col("p").alias("pb")), "b")
+        return checkpointed(both.select("a", "b", "pa", "pb").mapInArrow(verify, "a long, b long"))
+
+    banded = prints.where("p <> '' AND rep IS NOT NULL").mapInArrow(deal, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
+    centres = banded.groupBy("key").agg(F.min("rep").alias("c"), F.count("*").alias("n")).where("n > 1")
+    members = checkpointed(banded.join(centres, "key"))
+    links = verified(members.where("rep <> c").select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct())
+    #: The second pass: pairs in different components of a bucket, which its star need not show.
     comp = components(links)
+    wide = members.where("n > 2").join(comp, members.rep == comp.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    mixed = wide.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    unlinked = checkpointed(wide.join(mixed, "key", "left_semi"))
+    x, y = unlinked.toDF("key", "a", "ca"), unlinked.toDF("key_b", "b", "cb")
+    more = verified(x.join(y, (x.key == y.key_b) & (F.col("b") < F.col("a")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct())
+    comp = components(links.union(more))
     classes = prints.join(comp, prints.rep == comp.id, "left").select("p", F.coalesce("component", "rep").alias("component_id"))
     again = docs.mapInArrow(run, "doc_id long, p string")
     return again.join(classes, "p").select("doc_id", "component_id")
