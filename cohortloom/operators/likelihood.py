@@ -48,9 +48,18 @@ def _gather(df: DataFrame, total: Jet, free: Sequence[int], lowest: Column, orde
     return Point(r["v"] if ok else -np.inf, g, h, ok, r["deviance"] if "deviance" in more else None)
 
 
-def poisson(df: DataFrame, model: Model, pyr: str, event: str, strata: Sequence[str] = (), order: int = 2) -> Point:
-    """Sum of e ln(pyr R) - pyr R; with strata the background of each is profiled out by s = sum e / sum pyr R."""
+def _expected(r: Jet, free: Sequence[int]) -> Jet:
+    """The risk with R'R'/R for R'': then (ln R)'' is 0, and a likelihood's negative Hessian is its expected information."""
+    return Jet(r.v, r.g, {(i, j): r.g[i] * r.g[j] / r.v for a, i in enumerate(free) for j in free[a:] if i in r.g and j in r.g})
+
+
+def poisson(df: DataFrame, model: Model, pyr: str, event: str, strata: Sequence[str] = (), order: int = 2, expected: bool = False) -> Point:
+    """Sum of e ln(pyr R) - pyr R; with strata the background of each is profiled out by s = sum e / sum pyr R.
+
+    expected: the Hessian is the negative expected information, here and in the other families.
+    """
     r, free = risk(model), model.free
+    r = _expected(r, free) if expected else r
     e, t = F.col(event).cast("double"), F.col(pyr).cast("double")
     if not strata:
         mu = r.scaled(t)
@@ -96,20 +105,27 @@ def link(r: Jet, kind: str) -> Jet:
     raise ValueError(f"unknown link {kind}")
 
 
-def logistic(df: DataFrame, model: Model, trials: str | None, event: str, kind: str = "odds", order: int = 2) -> Point:
-    """Sum of y ln p + (n - y) ln(1 - p)."""
+def logistic(df: DataFrame, model: Model, trials: str | None, event: str, kind: str = "odds", order: int = 2, expected: bool = False) -> Point:
+    """Sum of y ln p + (n - y) ln(1 - p); expected information: sum of n p'p' / (p (1 - p))."""
     r = risk(model)
     p = link(r, kind)
     y, n = F.col(event).cast("double"), F.col(trials).cast("double") if trials else F.lit(1.0)
     inside = F.when((p.v > 0) & (p.v < 1), r.v if kind != "probit" else F.lit(1.0)).otherwise(-1.0)
     safe = Jet(F.when((p.v > 0) & (p.v < 1), p.v), p.g, p.h)
     ll = safe.log().scaled(y) + (safe.scaled(-1.0) + 1.0).log().scaled(n - y)
+    if expected:
+        free = model.free
+        ll = Jet(ll.v, ll.g, {(i, j): -n * safe.g[i] * safe.g[j] / (safe.v * (1 - safe.v)) for a, i in enumerate(free) for j in free[a:] if i in safe.g and j in safe.g})
     return _gather(df, ll, model.free, inside, order)
 
 
-def cox(df: DataFrame, model: Model, start: str, end: str, event: str, strata: Sequence[str] = (), ties: str = "breslow", order: int = 2, weight: str | None = None, parts: bool = False):
-    """Partial likelihood by Breslow or Efron, with strata or competing-risk weights. parts: the per-time frame instead of the point."""
+def cox(df: DataFrame, model: Model, start: str, end: str, event: str, strata: Sequence[str] = (), ties: str = "breslow", order: int = 2, weight: str | None = None, parts: bool = False, expected: bool = False):
+    """Partial likelihood by Breslow or Efron, with strata or competing-risk weights. parts: the per-time frame instead of the point.
+
+    The expected information of the reference, sum of d [sum R'R'/R / S0 - S1 S1 / S0^2], is that of Breslow's ties.
+    """
     r, free = risk(model), model.free
+    r = _expected(r, free) if expected else r
     pairs = [(i, j) for a, i in enumerate(free) for j in free[a:]] if order > 1 else []
     sums = {"SR": r.v} | ({f"S{i}": r.g.get(i, F.lit(0.0)) for i in free} if order else {}) | {f"S{i}_{j}": r.h.get((i, j), F.lit(0.0)) for i, j in pairs}
     log = r.log()
@@ -157,13 +173,14 @@ def _symmetric(r: np.ndarray, g: np.ndarray, h: np.ndarray, m: int) -> tuple[flo
     return float(np.log(b[m]) + m * np.log(scale)), lg, bh[m] / b[m] - np.outer(lg, lg)
 
 
-def case_control(df: DataFrame, model: Model, event: str, sets: Sequence[str], threshold: int = 50, odds: DataFrame | None = None) -> Point:
+def case_control(df: DataFrame, model: Model, event: str, sets: Sequence[str], threshold: int = 50, odds: DataFrame | None = None, expected: bool = False) -> Point:
     """Conditional likelihood of matched sets: sum of ln r over cases less ln B(m, n).
 
     A set of more than `threshold` cases has its own log odds, which is profiled out by Newton steps within the set
-    (the unconditional form). Sets are groups of a shuffle on the set's key; each set must fit in one task.
+    (the unconditional form; its expected information holds the log odds, as the reference does). Sets are groups of a shuffle on the set's key; each set must fit in one task.
     """
     r, free = risk(model), model.free
+    r = _expected(r, free) if expected else r
     p = len(free)
     pairs = [(i, j) for a, i in enumerate(free) for j in free[a:]]
     cols = [r.v.alias("r"), *[r.g.get(i, F.lit(0.0)).alias(f"g{i}") for i in free], *[r.h.get(k, F.lit(0.0)).alias(f"h{k[0]}_{k[1]}") for k in pairs]]
@@ -207,7 +224,7 @@ def case_control(df: DataFrame, model: Model, event: str, sets: Sequence[str], t
                 w = q * (1 - q)
                 full = dh - (q[:, None, None] * h / risk_[:, None, None]).sum(0) + ((q - w)[:, None] * u).T @ u
                 cross = -(w[:, None] * u).sum(0)
-                hess = full + np.outer(cross, cross) / w.sum()
+                hess = full if expected else full + np.outer(cross, cross) / w.sum()
             out = [value, out[1], *grad, *[hess[free.index(i), free.index(j)] for i, j in pairs]]
         return pd.DataFrame([out], columns=names)
 

@@ -197,6 +197,11 @@ def maximize(evaluate: Callable[[Model, int], L.Point], model: Model, control: C
     return model, point, converged, r, path
 
 
+def _information(observed: bool, evaluate: Callable[[Model], L.Point]):
+    """The expected information of a model from an evaluation with it for its Hessian; None where the observed one is wanted."""
+    return None if observed else (lambda m: -evaluate(m).hessian)
+
+
 def _finish(family: str, evaluate, model: Model, control: Control, n: int, constraints=None, ranges=None, information=None, setup: dict | None = None) -> Fit:
     if model.null:
         v = evaluate(model, 0)
@@ -235,8 +240,8 @@ def _hold_constant(model: Model, ranges: dict) -> Model:
     return replace(model, elements=held)
 
 
-def fit_cox(df: DataFrame, model: Model, start: str | None, end: str | None, event: str, strata: Sequence[str] = (), weight: str | None = None, control: Control | None = None, constraints=None) -> Fit:
-    """Cox regression; with a weight column Fine-Gray (event 2 is competing)."""
+def fit_cox(df: DataFrame, model: Model, start: str | None, end: str | None, event: str, strata: Sequence[str] = (), weight: str | None = None, control: Control | None = None, constraints=None, observed: bool = False) -> Fit:
+    """Cox regression; with a weight column Fine-Gray (event 2 is competing). observed: the covariance is from the observed, not the expected information."""
     control = control or Control()
     df, start, end = truncation_fill(df, start, end)
     bad = df.agg(F.min(event), F.max(event)).first()
@@ -250,31 +255,33 @@ def fit_cox(df: DataFrame, model: Model, start: str | None, end: str | None, eve
     rows, model, ranges, n = _ready(df, model, [start, end, event, *keys, *([weight] if weight else [])])
     model = model if model.null else _hold_constant(model, ranges)
     try:
-        return _finish("Fine-Gray" if weight else "Cox", lambda m, order: L.cox(rows, m, start, end, event, keys, control.ties, order, weight), model, control, n, constraints, ranges, setup={"start": start, "end": end, "event": event, "strata": list(strata)})
+        info = _information(observed, lambda m: L.cox(rows, m, start, end, event, keys, "breslow", 2, weight, expected=True))
+        return _finish("Fine-Gray" if weight else "Cox", lambda m, order: L.cox(rows, m, start, end, event, keys, control.ties, order, weight), model, control, n, constraints, ranges, info, setup={"start": start, "end": end, "event": event, "strata": list(strata)})
     finally:
         rows.unpersist()
 
 
-def fit_poisson(df: DataFrame, model: Model, pyr: str, event: str, strata: Sequence[str] = (), control: Control | None = None, constraints=None, observed: bool = True) -> Fit:
+def fit_poisson(df: DataFrame, model: Model, pyr: str, event: str, strata: Sequence[str] = (), control: Control | None = None, constraints=None, observed: bool = False) -> Fit:
     control = control or Control()
     rows, model, ranges, n = _ready(df.where(F.col(pyr) > 0), model, [pyr, event, *strata])
     try:
-        info = None if observed or strata else (lambda m: L.poisson_information(rows, m, pyr))
+        info = _information(observed, lambda m: L.poisson(rows, m, pyr, event, strata, 2, expected=True))
         return _finish("Poisson", lambda m, order: L.poisson(rows, m, pyr, event, strata, order), model, control, n, constraints, ranges, info, {"pyr": pyr, "event": event, "strata": list(strata)})
     finally:
         rows.unpersist()
 
 
-def fit_logistic(df: DataFrame, model: Model, trials: str | None, event: str, link: str = "odds", control: Control | None = None, constraints=None) -> Fit:
+def fit_logistic(df: DataFrame, model: Model, trials: str | None, event: str, link: str = "odds", control: Control | None = None, constraints=None, observed: bool = False) -> Fit:
     control = control or Control()
     rows, model, ranges, n = _ready(df.where(F.col(trials) > 0) if trials else df, model, [event, *([trials] if trials else [])])
     try:
-        return _finish("Logistic", lambda m, order: L.logistic(rows, m, trials, event, link, order), model, control, n, constraints, ranges, setup={"trials": trials, "event": event, "link": link})
+        info = _information(observed, lambda m: L.logistic(rows, m, trials, event, link, 2, expected=True))
+        return _finish("Logistic", lambda m, order: L.logistic(rows, m, trials, event, link, order), model, control, n, constraints, ranges, info, setup={"trials": trials, "event": event, "link": link})
     finally:
         rows.unpersist()
 
 
-def fit_case_control(df: DataFrame, model: Model, event: str, strata: Sequence[str] = (), start: str | None = None, end: str | None = None, threshold: int = 50, control: Control | None = None, constraints=None) -> Fit:
+def fit_case_control(df: DataFrame, model: Model, event: str, strata: Sequence[str] = (), start: str | None = None, end: str | None = None, threshold: int = 50, control: Control | None = None, constraints=None, observed: bool = False) -> Fit:
     """Matched sets: the whole table, strata, event times, or both. Strata without a case are dropped."""
     control = control or Control()
     sets = list(strata)
@@ -286,7 +293,8 @@ def fit_case_control(df: DataFrame, model: Model, event: str, strata: Sequence[s
         df = strata_with_events(df, strata, F.col(event) == 1)
     rows, model, ranges, n = _ready(df, model, [event, *sets])
     try:
-        return _finish("Case-control", lambda m, order: L.case_control(rows, m, event, sets, threshold), model, control, n, constraints, ranges, setup={"event": event, "strata": sets, "threshold": threshold})
+        info = _information(observed, lambda m: L.case_control(rows, m, event, sets, threshold, expected=True))
+        return _finish("Case-control", lambda m, order: L.case_control(rows, m, event, sets, threshold), model, control, n, constraints, ranges, info, setup={"event": event, "strata": sets, "threshold": threshold})
     finally:
         rows.unpersist()
 

@@ -20,22 +20,22 @@ def _with(model, values, fixed):
     return replace(model, elements=tuple(replace(e, value=float(v), fixed=bool(k)) for e, v, k in zip(model.elements, values, fixed, strict=True)))
 
 
-def run(formula: str, df: DataFrame, values: Sequence[float] | None = None, fixed: Sequence[bool] | None = None, control: fits.Control | None = None, constraints=None, link: str = "odds", threshold: int = 50) -> fits.Fit:
-    """Fit whatever family the formula names."""
+def run(formula: str, df: DataFrame, values: Sequence[float] | None = None, fixed: Sequence[bool] | None = None, control: fits.Control | None = None, constraints=None, link: str = "odds", threshold: int = 50, observed: bool = False) -> fits.Fit:
+    """Fit whatever family the formula names. observed: standard errors from the observed, not the expected information."""
     f = parse(formula, df)
     s, m = f.survival, f.model if f.model.null else _with(f.model, values, fixed)
     if s.family in ("cox", "finegray"):
-        out = fits.fit_cox(f.data, m, s.start, s.end, s.event, s.strata, s.weight, control, constraints)
+        out = fits.fit_cox(f.data, m, s.start, s.end, s.event, s.strata, s.weight, control, constraints, observed)
     elif s.family == "poisson":
-        out = fits.fit_poisson(f.data, m, s.pyr, s.event, s.strata, control, constraints)
+        out = fits.fit_poisson(f.data, m, s.pyr, s.event, s.strata, control, constraints, observed)
     elif s.family == "logit":
-        out = fits.fit_logistic(f.data, m, s.trials, s.event, link, control, constraints)
+        out = fits.fit_logistic(f.data, m, s.trials, s.event, link, control, constraints, observed)
     else:
-        out = fits.fit_case_control(f.data, m, s.event, s.strata, s.start, s.end, threshold, control, constraints)
+        out = fits.fit_case_control(f.data, m, s.event, s.strata, s.start, s.end, threshold, control, constraints, observed)
     out.setup["formula"] = f
     return out
 
 
-def run_joint(formulas: Sequence[str], df: DataFrame, values: Sequence[float] | None = None, fixed: Sequence[bool] | None = None, control: fits.Control | None = None) -> fits.Fit:
+def run_joint(formulas: Sequence[str], df: DataFrame, values: Sequence[float] | None = None, fixed: Sequence[bool] | None = None, control: fits.Control | None = None, observed: bool = False) -> fits.Fit:
     s, m, data = parse_joint(formulas, df)
-    return fits.fit_poisson(data, _with(m, values, fixed), s.pyr, s.event, s.strata, control)
+    return fits.fit_poisson(data, _with(m, values, fixed), s.pyr, s.event, s.strata, control, observed=observed)

@@ -132,6 +132,86 @@ def test_matched_sets_against_enumeration(spark):
     assert L.case_control(df, Model((Element("x", 0, "loglin", 0.7),)), "c", []).value == pytest.approx(want, abs=1e-9)
 
 
+def expected_case(spark):
+    """A table, a model that is not canonical, its risks and R'/R."""
+    rng = np.random.default_rng(8)
+    n = 40
+    a = rng.integers(0, 5, n).astype(float)
+    b, s, x, z = a + rng.integers(1, 6, n), rng.integers(0, 2, n), rng.random(n), rng.random(n)
+    e, pyr, w = rng.integers(0, 3, n), 1 + rng.random(n), 0.2 + rng.random(n)
+    cols = "a double, b double, s int, x double, z double, e int, pyr double, w double, y int"
+    df = frame(spark, [tuple(v.item() for v in r) for r in zip(a, b, s, x, z, e, pyr, w, (e == 1).astype(int), strict=True)], cols)
+    m = Model((Element("x", 0, "plin", 0.7), Element("z", 1, "loglin", 0.4)))
+    r, u = (1 + 0.7 * x) * np.exp(0.4 * z), np.column_stack([x / (1 + 0.7 * x), z])
+    return df, m, r, u, (a, b, s, e, pyr, w), fits.Control(rounds=0), lambda i: pytest.approx(np.linalg.inv(i), rel=1e-8)
+
+
+def test_expected_information(spark):
+    df, m, r, u, (a, b, s, e, pyr, w), still, cov = expected_case(spark)
+    n = len(r)
+
+    def cox(strata, weighted):
+        out = np.zeros((2, 2))
+        for k in (0, 1) if strata else (None,):
+            g = np.ones(n, bool) if k is None else s == k
+            for t in sorted(set(b[(e == 1) & g])):
+                own = (b == t) & (e == 1) & g
+                c = ((a < t) & (t <= b) & g).astype(float)
+                if weighted:
+                    c = np.where((e == 2) & (b <= t) & g, np.minimum(w / w[own].min(), 1), c)
+                q = c * r / (c * r).sum()
+                mean = q @ u
+                out += own.sum() * ((u.T * q) @ u - np.outer(mean, mean))
+        return out
+
+    for ties in ("breslow", "efron"):
+        got = fits.fit_cox(df, m, "a", "b", "e", control=fits.Control(rounds=0, ties=ties))
+        assert got.covariance == cov(cox(False, False))
+    assert fits.fit_cox(df, m, "a", "b", "e", ["s"], control=still).covariance == cov(cox(True, False))
+    assert fits.fit_cox(df, m, "a", "b", "e", weight="w", control=still).covariance == cov(cox(False, True))
+    assert fits.fit_cox(df, m, "a", "b", "e", ["s"], weight="w", control=still).covariance == cov(cox(True, True))
+    seen = fits.fit_cox(df, m, "a", "b", "e", control=still, observed=True)
+    assert seen.covariance == cov(-seen.hessian) and not seen.covariance == cov(cox(False, False))
+
+    assert fits.fit_poisson(df, m, "pyr", "y", control=still).covariance == cov((u.T * (pyr * r)) @ u)
+    info = np.zeros((2, 2))
+    for k in (0, 1):
+        g = s == k
+        q = pyr[g] * r[g] / (pyr * r)[g].sum()
+        info += (e[g] == 1).sum() * ((u[g].T * q) @ u[g] - np.outer(q @ u[g], q @ u[g]))
+    assert fits.fit_poisson(df, m, "pyr", "y", ["s"], control=still).covariance == cov(info)
+
+
+def test_expected_information_of_chances(spark):
+    from itertools import combinations
+
+    df, m, r, u, _, still, cov = expected_case(spark)
+    odds = r / (1 + r)
+    assert fits.fit_logistic(df, m, None, "y", control=still).covariance == cov((u.T * (odds * (1 - odds))) @ u)
+    p = np.exp(-r)
+    got = run("logit(y) ~ plinear(x, 0) + loglinear(z, 1) + multiplicative()", df, [0.7, 0.4], control=still, link="loglink")
+    assert got.covariance == cov((u.T * (p * r * r / (1 - p))) @ u)
+    got = run("logit(y) ~ plinear(x, 0) + loglinear(z, 1) + multiplicative()", df, [0.7, 0.4], control=still, link="loglink", observed=True)
+    assert got.covariance == cov(-got.hessian)
+
+    few = df.limit(8).toPandas()
+    rr, uu = (1 + 0.7 * few.x.to_numpy()) * np.exp(0.4 * few.z.to_numpy()), np.column_stack([few.x / (1 + 0.7 * few.x), few.z])
+    few.y = [1, 1, 0, 0, 1, 0, 0, 0]
+    few = spark.createDataFrame(few)
+    pick = [list(c) for c in combinations(range(8), 3)]
+    chance = np.array([np.prod(rr[c]) for c in pick])
+    score = np.array([uu[c].sum(0) for c in pick])
+    chance /= chance.sum()
+    mean = chance @ score
+    assert fits.fit_case_control(few, m, "y", control=still).covariance == cov((score.T * chance) @ score - np.outer(mean, mean))
+    lo, hi = -20.0, 20.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (1 / (1 + np.exp(-mid) / rr)).sum() < 3 else (lo, mid)
+    q = 1 / (1 + np.exp(-lo) / rr)
+    assert fits.fit_case_control(few, m, "y", threshold=2, control=still).covariance == cov((uu.T * (q * (1 - q))) @ uu)
+
+
 def test_bounds_agree(spark):
     df = frame(spark, [(10.0, 3, 0.0), (20.0, 9, 1.0), (15.0, 9, 2.0)], "pyr double, e int, x double")
     m = Model((Element("CONST", 0, "loglin", -1.0), Element("x", 0, "loglin", 0.1)))
