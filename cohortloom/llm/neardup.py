@@ -11,8 +11,9 @@ smallest id only (a star), and a second pass looks for links between different c
 with exact prefix and position filters. Nothing is capped, no bucket is gathered in one task.
 
 Defined results: null or wordless texts have the empty set and link with nothing; fewer words than
-the shingle length make one shingle; rows that repeat a doc_id count as one document; other columns
-are ignored; an empty table gives an empty result.
+the shingle length make one shingle; rows that repeat a doc_id count as one document; a null doc_id has
+the smallest id of its group for component_id, if there is one, and a null `kept` (the pipeline's
+stage gives such rows keys of their own); other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

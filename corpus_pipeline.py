@@ -14,8 +14,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.non_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+#: Keys from here on are made from content; ids of documents are taken to be smaller.
+OWN = 1 << 62
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays (five words, similarity 0.8)."""
+    """The document with the smallest id of each group stays (five words, similarity 0.8).
+
+    Rows without an id, and rows whose id others have too, are keyed on id and text: they are deduplicated like
+    others, a group keeps a row with an id of its own before them, and of rows of equal id and text one stays.
+    """
+    ids = checkpointed(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("id")))
+    shared = ids.count()
+    if not shared:
+        return _of_kept(docs)
+    if shared <= neardup.BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    own = F.lit(OWN) + F.xxhash64("row.doc_id", F.coalesce("row.text", F.lit(""))).bitwiseAND(F.lit(OWN - 1))
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.join(ids.select("id", F.lit(True).alias("many")), F.col("row.doc_id").eqNullSafe(F.col("id")), "left")
+    rows = checkpointed(_of_kept(rows.select("row", "row.text", F.when(F.col("many"), own).otherwise(F.col("row.doc_id")).alias("doc_id"))))
+    return rows.where(F.col("doc_id") < OWN).union(rows.where(F.col("doc_id") >= OWN).dropDuplicates(["doc_id"])).select("row.*")
+
+
+def _of_kept(docs: DataFrame) -> DataFrame:
     kept = neardup.near_duplicates(docs, shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
 

@@ -319,6 +319,21 @@ def test_sharding(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).drop("_shard").count() == len(texts)
 
 
+def test_near_copies_without_or_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(16)
+    t = [prose(40, r) for _ in range(7)]
+    near = t[1] + " end"
+    rows = [(1, t[0]), (2, t[1]), (3, near), (None, t[0]), (None, t[2]), (None, t[2]), (None, t[3]), (None, None), (4, t[4]), (4, t[4]), (4, t[5]), (4, near), (5, t[6])]
+    docs = spark.createDataFrame([(i, x, "s") for i, x in rows], "doc_id long, text string, _kept string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, t[0]), (2, t[1]), (None, t[2]), (None, t[3]), (None, None), (4, t[4]), (4, t[5]), (5, t[6])]
+    key = lambda x: (x[0] or 0, x[1] or "")
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=key) == sorted(want, key=key)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
