@@ -2,8 +2,14 @@
 
 Each language has a distribution over hashed byte trigrams of words, learned from a bounded sample of
 the labelled rows outside the held-out fold. A document is a mixture: expectation-maximisation over
-its words estimates the proportion of each language; then the language set of highest penalised
-likelihood among the leading one, two and three languages is taken, and its largest member predicted.
+its words estimates the proportion of each language. The language set starts with the leading language
+and takes the next ones in the order of their proportions for as long as the penalised likelihood rises;
+the set's largest member is predicted. A document whose words, each at its own best language, could not
+pay for a second language keeps one without a search (an exact bound). The score is the predicted
+language's proportion, among all languages if the set has one, else within the set.
+
+Words of any length count: a word's likelihoods are compared relative to its best language, and only
+the ratio is floored, at exp(`FLOOR`), so that no language is impossible.
 
 `fit_rows` bounds the sample (rows are taken by a hash of the id; a table with fewer training rows
 gives all of them); every document is scored on its whole text.
@@ -27,7 +33,7 @@ from .text import ALNUM, LOWER, blocks
 
 BUCKETS = 1 << 16
 FIT_ROWS = 6000
-ROUNDS, PENALTY, SECOND = 8, 4.0, 0.03
+ROUNDS, PENALTY, FLOOR = 8, 4.0, -60.0
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -79,18 +85,42 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
 def mixture(word_ll: np.ndarray, first: np.ndarray, size: np.ndarray, allowed: np.ndarray | None = None, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Proportions (documents x languages) and log likelihood of each document, for words of documents that all have some."""
     top = word_ll.max(1, keepdims=True)
-    lik = np.exp(word_ll - top)
+    lik = np.exp(np.maximum(word_ll - top, FLOOR)).astype(np.float32)
     k = word_ll.shape[1]
     p = np.full((len(size), k), 1.0 / k, np.float32) if allowed is None else (allowed / allowed.sum(1, keepdims=True)).astype(np.float32)
     for _ in range(rounds):
         r = np.repeat(p, size, 0) * lik
-        total = r.sum(1, keepdims=True) + np.float32(1e-30)
+        total = np.maximum(r.sum(1, keepdims=True), np.float32(1e-37))
         p = np.add.reduceat(r / total, first, 0) / size[:, None]
-    total = (np.repeat(p, size, 0) * lik).sum(1) + np.float32(1e-30)
-    ll = np.add.reduceat(np.log(total) + top[:, 0], first)
+    total = np.maximum((np.repeat(p, size, 0) * lik).sum(1), np.float32(1e-37))
+    ll = np.add.reduceat(np.log(total, dtype=np.float64) + top[:, 0], first)
     return p, ll
 
 
+def language_sets(word_ll: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the languages by proportion, how many of them are in the set, proportions) of documents that all have words."""
+    p, _ = mixture(word_ll, first, size)
+    order = np.argsort(-p, 1, kind="stable")
+    fee = PENALTY * np.log(size + 1)
+    own = word_ll[np.arange(len(word_ll)), np.repeat(order[:, 0], size)]
+    value = np.add.reduceat(own, first) - fee
+    chosen, best = np.ones(len(size), np.int64), p
+    rising = np.flatnonzero(np.add.reduceat(word_ll.max(1), first) - 2 * fee > value)
+    for k in range(2, word_ll.shape[1] + 1):
+        if not len(rising):
+            break
+        n = size[rising]
+        start = np.cumsum(n) - n
+        words = np.repeat(first[rising] - start, n) + np.arange(n.sum())
+        allowed = np.zeros((len(rising), word_ll.shape[1]))
+        np.put_along_axis(allowed, order[rising, :k], 1, 1)
+        q, ll = mixture(word_ll[words], start, n, allowed)
+        up = ll - k * fee[rising] > value[rising]
+        rising, q, ll = rising[up], q[up], ll[up]
+        value[rising], best[rising], chosen[rising] = ll - k * fee[rising], q, k
+    return order, chosen, best
+
+
 def identify(texts: list[str | None], langs: list[str], table: np.ndarray) -> list[tuple[str, float, str]]:
     """(language, its proportion, the chosen set as "en+fr") of each text."""
     out = [("und", 0.0, "")] * len(texts)
@@ -99,33 +129,15 @@ def identify(texts: list[str | None], langs: list[str], table: np.ndarray) -> li
     use = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
     for base, raw in blocks([texts[i] for i in use], 2 << 20):
         bucket, first, upto = trigrams(raw)
-        word_ll = np.maximum(np.add.reduceat(table[bucket], first, 0), -200) if len(first) else np.zeros((0, len(langs)), np.float32)
         size = np.diff(upto, prepend=0)
         full = np.flatnonzero(size)
         if not len(full):
             continue
-        starts = (upto - size)[full]
-        p, _ = mixture(word_ll, starts, size[full])
-        order = np.argsort(-p, 1, kind="stable")
-        best, chosen = p.copy(), np.ones(len(full), np.int64)
-        #: The single language where nothing else has a noticeable share; else the best of the first three sets.
-        for row in range(len(full)):
-            second = p[row, order[row, 1]] if len(langs) > 1 else 0.0
-            if second < SECOND:
-                continue
-            words = word_ll[starts[row] : starts[row] + size[full[row]]]
-            top = -np.inf
-            for k in range(1, min(3, len(langs)) + 1):
-                allowed = np.zeros((1, len(langs)))
-                allowed[0, order[row, :k]] = 1
-                q, ll = mixture(words, np.zeros(1, np.int64), np.array([len(words)]), allowed)
-                value = float(ll[0]) - PENALTY * k * np.log(len(words) + 1)
-                if value > top:
-                    top, best[row], chosen[row] = value, q[0], k
+        word_ll = np.add.reduceat(table[bucket], first, 0, dtype=np.float64)
+        order, chosen, best = language_sets(word_ll, (upto - size)[full], size[full])
         for row, f in enumerate(full):
-            k = int(chosen[row])
             lead = int(np.argmax(best[row]))
-            members = [langs[j] for j in order[row, :k]]
+            members = [langs[j] for j in order[row, : chosen[row]]]
             out[use[base + int(f)]] = (langs[lead], float(min(1.0, max(0.0, best[row, lead]))), "+".join(sorted(members)))
     return out
 
