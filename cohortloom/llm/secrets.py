@@ -4,7 +4,13 @@ Base spans are the leftmost non-overlapping matches of each kind; those that mis
 The method adds spans of kind `novel`: a candidate string near a sensitive word is compressed with a
 zstandard dictionary primed with common identifiers and the surrounding text; its marginal bytes are
 the compressed size less that of nothing. What the context or the dictionary could have produced costs
-few bytes; a string that stays incompressible and mixes letters and digits is reported.
+few bytes; a string that stays incompressible is reported.
+
+The context is the `AROUND` code points on each side. More context could only lower the marginal bytes, so
+this bound adds reports of strings that are repeated farther away and never loses one. A string that is
+spelled like words or numbers is not measured: one whose runs of lower-case letters (a capital may stand
+before them), capitals or digits have `WORDLIKE` characters on average (of random base64 they have 1.8, of
+random hex digits 2.1). A secret of small letters alone, or of digits alone, is so found only by `assign`.
 
 A candidate is a maximal run of base64 or URL-safe characters, with all that dots join to it (the parts of
 a JWT), where a part has 16 characters or more. It is near a word that it holds, that ends at most `NEAR`
@@ -42,7 +48,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
 #: A candidate's characters, and what dots join to it.
 JOINED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=~-")
 DOTTED = re.compile(r"(?:\.[A-Za-z0-9+/_=~-]+)*")
-NEAR, AROUND, NOVEL = 48, 2048, 0.7
+RUN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+NEAR, AROUND, NOVEL, WORDLIKE = 48, 2048, 0.7, 4
 #: Identifiers that often surround secrets in code and settings.
 IDENTIFIERS = (
     "def return import from class self None True False const let var function public static void string int bool char async await export default require module "
@@ -100,7 +107,8 @@ def _novel(text: str, a: int, b: int, base: list[tuple[int, int, str]]) -> bool:
         return False
     for m in CANDIDATE.finditer(text, a, b):
         word = m[0]
-        if sum(x.isdigit() for x in word) < 2 or sum(x.isalpha() for x in word) < 2 or len(set(word)) < 8:
+        runs = [len(x) for x in RUN.findall(word)]
+        if sum(runs) >= WORDLIKE * len(runs):
             continue
         around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
         if marginal_bytes(word, around) >= NOVEL * len(word):
