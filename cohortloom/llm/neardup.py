@@ -8,10 +8,12 @@ independent MinHash. Bands of the sketch are buckets; candidates are confirmed o
 
 Work stays linear in large groups: equal sets collapse first; a bucket links each member to its
 smallest id only (a star), and a second pass looks for links between different components of a bucket
-with exact prefix and position filters. Nothing is capped, no bucket is gathered in one task.
+with exact prefix and position filters. Nothing is capped, no bucket is gathered in one task: the pairs
+of one text are dealt to parts by the other text's hash, and the text goes once to each part that has some.
 
 Defined results: null or wordless texts have the empty set and link with nothing; fewer words than
-the shingle length make one shingle; rows that repeat a doc_id count as one document; a null doc_id has
+the shingle length make one shingle; rows that repeat a doc_id are one document (if their texts differ, the
+one with the least text hash) and all get its results; a null doc_id has
 the smallest id of its group for component_id, if there is one, and a null `kept` (the pipeline's
 stage gives such rows keys of their own); other columns are ignored; an empty table gives an empty result.
 """
@@ -114,7 +116,7 @@ def _verifier(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             b, right = batch.column("b").to_pylist(), batch.column("zb").to_pylist()
-            #: Rows of one b mostly follow each other; its set is then made once.
+            #: Rows of one b in a part follow each other; its set is then made once.
             starts = [not i or b[i] != b[i - 1] for i in range(len(b))]
             sets = shingle_sets((_unpacked(z) for z, new in zip(right, starts, strict=True) if new), n)
             ok = []
@@ -128,14 +130,25 @@ def _verifier(n: int, percent: int):
     return run, "a long, b long"
 
 
+PARTS, PAIRS_A_PART = 64, 20_000
+
+
+def _beside(pairs: DataFrame, texts: DataFrame, side: str, other: str, parts: int) -> DataFrame:
+    """The pairs with the packed text of one side as `z<side>`. A text's pairs go to `parts` parts, so a text of very many pairs makes no hot task."""
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64(other), F.lit(parts)))
+    wanted = pairs.select(side, "part").distinct()
+    held = texts.join(wanted, texts.id == wanted[side]).select(side, "part", F.col("z").alias(f"z{side}"))
+    return pairs.join(held.hint("merge"), [side, "part"]).drop("part")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full sets reach the similarity."""
     pairs = checkpointed(pairs)
+    parts = max(PARTS, pairs.count() // PAIRS_A_PART)
     texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    left = texts.select(F.col("id").alias("a"), F.col("z").alias("za"))
-    right = texts.select(F.col("id").alias("b"), F.col("z").alias("zb"))
     run, schema = _verifier(n, percent)
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, schema)
+    both = _beside(_beside(pairs, texts, "a", "b", parts), texts, "b", "a", parts)
+    return both.select("a", "b", "za", "zb").mapInArrow(run, schema)
 
 
 def _prefix_pairs(ids: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -167,6 +180,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     At a similarity of 0.8 a pair shares none of the 48 bands of 6 with a chance of 5e-7.
     """
     docs = id_and_text(docs)
+    of_text = F.xxhash64("text")
+    torn = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.min(of_text).alias("lo"), F.max(of_text).alias("hi")).where("lo <> hi")
+    torn = checkpointed(torn.select("id", "lo"))
+    if torn.isEmpty():
+        return _grouped(docs, shingle, percent, bands, rows)
+    found = _grouped(docs.join(torn, docs.doc_id == torn.id, "left").where("lo IS NULL OR lo = xxhash64(text)").select("doc_id", "text"), shingle, percent, bands, rows)
+    found = checkpointed(found)
+    one = found.join(torn, found.doc_id == torn.id, "left_semi").dropDuplicates(["doc_id"])
+    whole = found.join(torn, found.doc_id == torn.id, "left_anti")
+    return whole.union(docs.select("doc_id").join(one, "doc_id").select(*whole.columns))
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """near_duplicates of (doc_id, text) where rows of one id have one text."""
     run, schema = _sketcher(shingle, bands, rows)
     sk = checkpointed(docs.mapInArrow(run, schema))
     same = sk.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
