@@ -1,14 +1,18 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text, normalised by length.
 
 Folding maps case, diacritics, homoglyphs and digit substitutions to plain letters, and everything else
-to a space. The lexicon is learned from labelled rows outside the held-out fold: whole words, and word
-beginnings of `SHORTEST` to `LONGEST` letters (families of derived words), by the smoothed log ratio of
-their frequencies in toxic and other texts. Near copies count once (by the least word hash), and terms
+to a space. The lexicon is learned from labelled rows outside the held-out fold: whole words, word
+beginnings of `SHORTEST` to `LONGEST` letters, and families, by the smoothed log ratio of their
+frequencies in toxic and other texts. A family is a beginning that counts only where at least `SEVERAL`
+different words of the text have it, and one for each `SPARSE` words of it: that tells a text that keeps
+deriving words from a slur's stem from one that has a chance word. Near copies count once (by the least word hash), and terms
 are taken greedily by the toxic texts that no earlier term covers, so that a term must explain labels by
 itself. A score is the logistic of the hits' weight, itself and relative to the length, calibrated on
 the same rows. A hit inside an exception phrase does not count.
 
-`fit_rows` bounds the labelled sample, taken by a hash of the id; every document is scored whole.
+`fit_rows` bounds the labelled sample, taken by a hash of the id and read once; every document is scored
+whole. The driver gets, of that sample only, the pure terms with the rows that hold them, and two features
+of each row.
 
 Defined results: a null or empty text scores as a text without hits; repeated rows alike; without
 labels of both values the score is 0; other columns are ignored, or kept by `non_toxic`.
@@ -16,19 +20,22 @@ labels of both values the score is 0; other columns are ignored, or kept by `non
 
 from __future__ import annotations
 
+import heapq
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, ship, slices
+from .common import checkpointed, fold_of, ship, slices
 
 FIT_ROWS = 25_000
 SHORTEST, LONGEST = 4, 7
-LEAST, PURE, MOST_TERMS = 3, 0.9, 4000
+LEAST, PURE, PURE_FAMILY = 3, 0.9, 0.8
+SEVERAL, SPARSE = 2, 150
 #: Look-alike characters and substitutions, and phrases that are harmless.
 HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "г": "r", "ԁ": "d", "ԛ": "q", "ԝ": "w",
@@ -66,26 +73,30 @@ def folded(text: str) -> str:
     return " " + text.translate(FOLD) + " "
 
 
+def family(different: int, words: int) -> bool:
+    """Whether so many different words of one beginning make a family in a text of so many words."""
+    return different >= SEVERAL and different * SPARSE >= words
+
+
 def terms_of(text: str) -> tuple[set[str], int, int]:
-    """Terms ("word " whole, "pref" a beginning), number of words, least word hash."""
+    """Terms ("word " whole, "pref" a beginning, "pref*" a family), number of words, least word hash."""
     words = folded(text).split()
     kinds = set(words)
-    terms = {w + " " for w in kinds}
-    for w in kinds:
-        for k in range(SHORTEST, min(LONGEST, len(w)) + 1):
-            terms.add(w[:k])
+    begin = Counter(w[:k] for w in kinds for k in range(SHORTEST, min(LONGEST, len(w)) + 1))
+    terms = {w + " " for w in kinds} | set(begin)
+    terms |= {t + "*" for t, n in begin.items() if family(n, len(words))}
     return terms, len(words), min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in kinds), default=0)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
+    """(doc_id, text, toxic) of labelled rows outside the held-out fold; the ids that are broadcast are about `fit_rows` at most."""
     marks = labels.where(F.col("toxic").isNotNull() & (fold_of(F.col("doc_id")) != 0)).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n = marks.count()
-    if n > fit_rows:
-        marks = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
     docs = docs.where(fold_of(F.col("doc_id")) != 0)
     if n > fit_rows:
-        docs = docs.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
-    both = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marks, F.col("doc_id") == marks._id)
+        few = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n)
+        marks, docs = marks.where(few("_id")), docs.where(few("doc_id"))
+    both = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marks), F.col("doc_id") == marks._id)
     return both.select("doc_id", "text", "toxic")
 
 
@@ -101,30 +112,40 @@ class Model:
         self.__init__(*x)
 
     def features(self, text: str) -> tuple[float, float]:
-        """log(1 + weight of hits), and the same for hits in 100 words; only the longest term that ends or starts a hit counts."""
+        """log(1 + weight of hits), and the same for hits in 100 words; of terms that start at one word the weightiest counts."""
         if self.auto is None:
             import ahocorasick
 
             self.auto = ahocorasick.Automaton()
+            found: dict[str, list] = {}
             for t, w in self.weights.items():
-                self.auto.add_word(" " + t, (len(t) + 1, w))
+                found.setdefault(" " + t.removesuffix("*"), []).append((w, t.endswith("*")))
             for t in EXCEPTIONS:
-                self.auto.add_word(" " + t + " ", (len(t) + 2, None))
+                found.setdefault(" " + t + " ", []).append((None, False))
+            for t, what in found.items():
+                self.auto.add_word(t, (t, what))
             self.auto.make_automaton()
         flat = folded(text)
+        words = max(1, flat.count(" ") - 1)
         best: dict[int, float] = {}
         clear: list[tuple[int, int]] = []
-        if len(self.weights):
-            for end, (n, w) in self.auto.iter(flat):
-                start = end - n + 1
+        kin: dict[tuple[str, float], list[int]] = {}
+        for end, (t, what) in self.auto.iter(flat) if self.weights else ():
+            start = end - len(t) + 1
+            for w, many in what:
                 if w is None:
                     clear.append((start, end))
-                elif w > best.get(start, 0.0):
-                    best[start] = w
+                elif many:
+                    kin.setdefault((t, w), []).append(start)
+                else:
+                    best[start] = max(w, best.get(start, 0.0))
+        for (_, w), at in kin.items():
+            if family(len({flat[s + 1 : flat.find(" ", s + 1)] for s in at}), words):
+                for s in at:
+                    best[s] = max(w, best.get(s, 0.0))
         if clear:
             best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in clear)}
         total = sum(best.values())
-        words = max(1, flat.count(" ") - 1)
         return float(np.log1p(total)), float(np.log1p(100.0 * total / words))
 
     def score(self, text: str) -> float:
@@ -135,31 +156,34 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     ship(docs.sparkSession)
-    sample = _sample(docs, labels, fit_rows)
+    sample = checkpointed(_sample(docs, labels, fit_rows))
 
     def rows(batches):
         for batch in slices(batches):
-            sig, toxic, size, terms = [], [], [], []
+            sig, toxic, terms = [], [], []
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                t, n, s = terms_of(text)
-                sig.append(s), toxic.append(y), size.append(n), terms.append(sorted(t))
-            yield pa.record_batch([pa.array(sig, pa.int64()), pa.array(toxic, pa.int32()), pa.array(terms, pa.list_(pa.string()))], names=["sig", "toxic", "terms"])
-
-    #: One text for each least word hash and label: near copies mostly share it.
-    once = sample.withColumn("key", F.xxhash64("text")).dropDuplicates(["key", "toxic"])
-    flat = once.select("text", "toxic").mapInArrow(rows, "sig long, toxic int, terms array<string>")
-    each = flat.select("toxic", "sig", F.explode("terms").alias("term"))
-    counts = each.groupBy("term").agg(F.approx_count_distinct(F.when(F.col("toxic") == 1, F.col("sig")), 0.05).alias("t"), F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("c"), F.sum("toxic").alias("all_t"))
-    good = counts.where((F.col("t") >= LEAST) & (F.col("all_t") >= PURE * (F.col("all_t") + F.col("c"))))
-    ranked = good.orderBy(F.desc("t"), "term").limit(MOST_TERMS).collect()
-    n_toxic, n_other = (sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
+                t, _, s = terms_of(text)
+                sig.append(s), toxic.append(y), terms.append(sorted(t))
+            yield pa.record_batch([batch.column("row"), pa.array(sig, pa.int64()), pa.array(toxic, pa.int32()), pa.array(terms, pa.list_(pa.string()))], names=["row", "sig", "toxic", "terms"])
+
+    total = sample.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
+    n_toxic, n_other = total.t, total.c
     if not n_toxic or not n_other:
         return Model({}, -40.0, 0.0, 0.0)
-    table = {r.term: (r.t, r.c) for r in ranked}
-    held = []
-    for r in sample.where("toxic = 1").select("text").toLocalIterator():
-        terms, _, sig = terms_of(r.text)
-        held.append((sig, [t for t in terms if t in table]))
+    #: One text for each label; near copies mostly share the least word hash.
+    once = sample.groupBy(F.xxhash64("text").alias("row"), "toxic").agg(F.first("text").alias("text"))
+    flat = once.mapInArrow(rows, "row long, sig long, toxic int, terms array<string>")
+    each = checkpointed(flat.select("row", "toxic", "sig", F.explode("terms").alias("term")))
+    often = each.groupBy("term").agg(F.sum("toxic").alias("all_t"), F.count("*").alias("n")).where((F.col("all_t") >= LEAST) & (F.col("all_t") >= F.when(F.col("term").endswith("*"), PURE_FAMILY).otherwise(PURE) * F.col("n")))
+    pure = each.where("toxic = 1").join(often, "term").groupBy("term").agg(F.countDistinct("sig").alias("t"), F.first(F.col("n") - F.col("all_t")).alias("c"), F.collect_list(F.struct("row", "sig")).alias("rows")).where(F.col("t") >= LEAST).toArrow()
+    table, families = {}, {}
+    held: dict[int, list[str]] = {}
+    for term, t, c, where in zip(*(pure.column(k).to_pylist() for k in ("term", "t", "c", "rows")), strict=True):
+        table[term] = (t, c)
+        for r in where:
+            families[r["row"]] = r["sig"]
+            held.setdefault(r["row"], []).append(term)
+    held = [(families[r], held[r]) for r in sorted(held)]
     weights = _greedy(held, table, n_toxic, n_other)
     model = Model(weights, 0.0, 0.0, 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -185,27 +209,28 @@ def _greedy(held: list[tuple[int, list[str]]], table: dict[str, tuple[int, int]]
     left = set(range(len(held)))
     live = {t: len({sig[i] for i in rows}) for t, rows in where.items()}
     first_gain = max(live.values(), default=0)
-    while live:
-        #: Lazily renewed gains: the largest that is still true wins; ties go to the longer, then the first term.
-        t = max(live, key=lambda k: (live[k], len(k), k))
+    #: Gains are renewed when they come up: the largest that is still true wins; ties go to the longer, then the last term.
+    rank = {t: i for i, t in enumerate(sorted(live, reverse=True))}
+    heap = [(-n, -len(t), rank[t], t) for t, n in live.items()]
+    heapq.heapify(heap)
+    while heap:
+        was, size_, at, t = heapq.heappop(heap)
         gain = len({sig[i] for i in where[t] & left})
-        if gain < live[t]:
-            if gain < LEAST:
-                del live[t]
-            else:
-                live[t] = gain
-            continue
         if gain < LEAST:
-            break
+            continue
+        if gain < -was:
+            heapq.heappush(heap, (-gain, size_, at, t))
+            continue
         taken[t] = max(0.1, weight(t))
         left -= where[t]
-        del live[t]
     #: Terms as frequent as those taken are toxic words too, though others cover their texts already.
     strong = 0.25 * first_gain
     size = {t: len({sig[i] for i in rows}) for t, rows in where.items()}
-    within = lambda t, k: k.startswith(t) and size[k] >= 0.8 * size[t]  # noqa: E731  a beginning that is little more than one known word
+    bare = lambda t: t.removesuffix("*")
+    within = lambda t, k: bare(k).startswith(bare(t)) and size[k] >= 0.8 * size[t]  # noqa: E731  a beginning that is little more than one known word
     for t in sorted(where, key=lambda k: (-len(k), k)):
-        if t not in taken and size[t] >= max(LEAST, strong) and not any(t.startswith(k) or within(t, k) for k in taken):
+        known = [k for k in taken if k.endswith("*") == t.endswith("*")]
+        if t not in taken and size[t] >= max(LEAST, strong) and not any(bare(t).startswith(bare(k)) or within(t, k) for k in known):
             taken[t] = max(0.1, weight(t))
     return taken
 
