@@ -32,7 +32,7 @@ from .common import checkpointed, components, id_and_text, slices
 from .text import mix, shingle_sets
 
 _U = np.uint64
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS, HOT = 1_000_000, 500
 
 
 def sketch(values: np.ndarray, t: int, seed: int = 0) -> np.ndarray:
@@ -199,15 +199,28 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int)
     same = sk.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     same = checkpointed(same)
     banded = same.select("rep", F.explode("bands").alias("key"))
-    centres = banded.groupBy("key").agg(F.min("rep").alias("c"), F.count("*").alias("n")).where("n > 1")
-    members = checkpointed(banded.join(centres, "key"))
+    centres = checkpointed(banded.groupBy("key").agg(F.min("rep").alias("c"), F.count("*").alias("n")).where("n > 1"))
+    #: Keys of more than HOT members meet them by broadcast, if they are few enough, so that none of them lands in one task.
+    hot, cold = centres.where(F.col("n") > HOT), centres.where(F.col("n") <= HOT)
+    split = 0 < hot.count() <= BROADCAST_IDS
+    if split:
+        rest = banded.join(F.broadcast(hot.select("key")), "key", "left_anti")
+        members = banded.join(F.broadcast(hot), "key").unionByName(rest.join(cold, "key"))
+    else:
+        members = banded.join(centres, "key")
+    members = checkpointed(members)
     tested = members.where("rep <> c").select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct()
     links = checkpointed(_confirmed(tested, docs, shingle, percent))
     #: The second pass: links between different components of a bucket, which the stars need not show.
     comp = components(links)
-    wide = members.where("n > 2").join(comp, members.rep == comp.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = wide.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ids = checkpointed(wide.join(mixed, "key", "left_semi").select("rep", "comp").distinct())
+    wide = members.where("n > 2").join(comp, members.rep == comp.id, "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("comp"))
+    mixed = wide.groupBy("key", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "n")
+    if split:
+        few, many = F.col("n") <= HOT, F.col("n") > HOT
+        open_rows = wide.where(few).join(mixed.where(few).select("key"), "key", "left_semi").unionByName(wide.where(many).join(F.broadcast(mixed.where(many).select("key")), "key", "left_semi"))
+    else:
+        open_rows = wide.join(mixed.select("key"), "key", "left_semi")
+    open_ids = checkpointed(open_rows.select("rep", "comp").distinct())
     more = checkpointed(_confirmed(_prefix_pairs(open_ids, docs, shingle, percent), docs, shingle, percent))
     comp = components(links.union(more))
     classes = same.join(comp, same.rep == comp.id, "left").select("h1", "h2", F.col("n_shingles").alias("n_set"), F.coalesce("component", "rep").alias("class_id"))
