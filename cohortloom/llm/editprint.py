@@ -5,8 +5,9 @@ one or stays, as a random bit for (j, character) says. Texts at a small edit dis
 again after each edit, so edit distance becomes Hamming distance. A fingerprint samples the embedding
 at fixed steps: `PER_OCTAVE` in each doubling of the step, so that texts of all lengths share their
 samples; each sample is one hex digit of the character's hash. Likeness is the share of equal samples,
-each weighted by the length that it stands for. Near texts (`near_groups`) are found by
-banding samples drawn by weight and verified on the whole fingerprint.
+each weighted by the length that it stands for. Near texts are found by banding samples drawn by weight
+(two prints that share the key of a band are candidates) and verified on the whole fingerprint:
+`fingerprinted` does so for each text and its edited text and its successor, `near_groups` for all documents.
 
 The walk of many texts runs in step (numpy), whole texts always.
 
@@ -23,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, components, id_and_text, slices
@@ -115,7 +116,7 @@ CHUNK = 16_000_000
 
 def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (b, carry, doc_id, text) in order: each row's successor is the next row of its bucket; carried rows only follow."""
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "found_edited", "found_next"]
 
     def flush(rows: list[tuple]) -> pa.RecordBatch | None:
         """All rows but the last get a successor within the same bucket."""
@@ -128,9 +129,12 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = dict(zip(map(id, rows), prints, strict=False))
         mine, mine_new = [own[id(x)] for x, _ in pairs], prints[len(rows) :]
         following = [own[id(y)] for _, y in pairs]
+        near_new, near_next = [likeness(a, b) for a, b in zip(mine, mine_new, strict=True)], [likeness(a, b) for a, b in zip(mine, following, strict=True)]
+        keys = {p: band_keys(p, LEAST, BAND) for p in {*mine, *mine_new, *following}}
+        found = [[bool(y >= LEAST and (a == b or len(np.intersect1d(keys[a], keys[b])))) for a, b, y in zip(mine, other, near, strict=True)] for other, near in ((mine_new, near_new), (following, near_next))]
         cols = [
             pa.array([x[2] for x, _ in pairs], pa.int64()), pa.array([len(x[3]) for x, _ in pairs], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new]),
-            pa.array(mine), pa.array(mine_new), pa.array([likeness(a, b) for a, b in zip(mine, mine_new, strict=True)], pa.float64()), pa.array([likeness(a, b) for a, b in zip(mine, following, strict=True)], pa.float64()),
+            pa.array(mine), pa.array(mine_new), pa.array(near_new, pa.float64()), pa.array(near_next, pa.float64()), *(pa.array(x, pa.bool_()) for x in found),
         ]
         return pa.record_batch(cols, names=names)
 
@@ -149,48 +153,53 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, found_edited boolean, found_next boolean"
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000
 
 
 def fingerprinted(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, found_edited, found_next for every row.
 
-    The order is by ranges of ids: their bounds come from approximate quantiles of the ids alone, and the
-    first row of each range is also sent, once, to the range before it. Each text is shuffled once.
+    found_*: banding makes the pair a candidate and verification finds it alike by `LEAST` or more.
+    The order is by ranges of ids, one for each `BUCKET_BYTES` of text: their bounds come from approximate quantiles
+    of the ids, and the first row of each range is also sent, once, to the range before it. Each text is shuffled
+    once. All rows of one id are in one range, which one task reads as a stream.
     """
     docs = id_and_text(docs)
     spark = docs.sparkSession
-    n = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     key = F.coalesce("doc_id", F.lit(-(2**63)))
-    cut = docs.select(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000).alias("q")).first().q
+    n = buckets
+    if n is None:
+        size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+        n = min(MOST_BUCKETS, max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
+    cut = docs.select(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("q")).first().q
     cut = sorted(set(cut or []), reverse=True)
-    bounds = F.array(*[F.lit(c) for c in cut]) if cut else F.array().cast("array<long>")
+    #: Bucket 0 holds the largest ids: a row's bucket is the number of (descending) bounds over its id.
     shared = docs.withColumn("k", key)
-    #: Bucket 0 holds the largest ids: the number of bounds that are at least the id.
-    if cut:
-        shared = shared.withColumn("b", (F.lit(len(cut)) - _rank(F.col("k"), bounds, len(cut))).cast("int"))
-    else:
-        shared = shared.withColumn("b", F.lit(0))
-    firsts = {r.b: r.k for r in shared.select("b", "k").groupBy("b").agg(F.max("k").alias("k")).collect()}
-    order = sorted(firsts)
-    before = {order[i]: order[i - 1] for i in range(len(order))}
-    #: Every row stays in its bucket; the rows with a bucket's largest id also go to the bucket before, as carried ones.
-    pick = F.lit(None).cast("int")
-    lead = {firsts[b]: before[b] for b in order}
-    lookup = F.create_map(*[x for k, v in lead.items() for x in (F.lit(k), F.lit(v))]) if lead else None
-    if lookup is not None:
-        pick = F.element_at(lookup, F.col("k"))
+    shared = shared.withColumn("b", _above(F.col("k"), cut))
+    heads = {r.b: r.k for r in shared.groupBy("b").agg(F.max("k").alias("k")).collect()}
+    order = sorted(heads)
+    #: By bucket: its largest id, and the bucket before it that has rows (the last one for the first).
+    head, back = [None] * (len(cut) + 1), [None] * (len(cut) + 1)
+    for i, b in enumerate(order):
+        head[b], back[b] = heads[b], order[i - 1]
+    at = F.col("b") + 1
+    pick = F.when(F.element_at(F.lit(head).cast("array<long>"), at) == F.col("k"), F.element_at(F.lit(back).cast("array<int>"), at))
     sent = shared.withColumn("to", F.array(F.struct("b", F.lit(False).alias("carry")), F.struct(pick.alias("b"), F.lit(True).alias("carry"))))
     sent = sent.select("doc_id", "text", "k", F.explode(F.filter("to", lambda x: x.b.isNotNull())).alias("to")).select(F.col("to.b").alias("b"), F.col("to.carry").alias("carry"), "doc_id", "text", "k")
     dealt = sent.repartition(n, "b").sortWithinPartitions("b", "carry", F.desc("k"), "text")
     return dealt.select("b", "carry", "doc_id", "text").mapInArrow(_walks, RESULT)
 
 
-def _rank(k, bounds, n):
-    """How many of the descending bounds are at most k (as a filter of a constant array; n is the number of shuffle partitions)."""
-    return F.size(F.filter(bounds, lambda c: c <= k))
+def _above(k: Column, cut: list[int]) -> Column:
+    """How many of the descending bounds exceed k: a binary search in a constant array."""
+    if not cut:
+        return F.lit(0)
+    bounds, steps = F.lit(cut).cast("array<long>"), F.lit([1 << i for i in range(len(cut).bit_length() - 1, -1, -1)]).cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(cut)) & (F.get(bounds, at + s - 1) > k), at + s).otherwise(at))
 
 
+LEAST, BAND = 0.8, 8
 STRIDE, MISS = 1.1, 1e-5
 TOTAL = np.cumsum(WEIGHTS)
 
@@ -236,7 +245,7 @@ def band_keys(p: str, least: float, band: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def near_groups(docs: DataFrame, least: float = 0.8, band: int = 8) -> DataFrame:
+def near_groups(docs: DataFrame, least: float = LEAST, band: int = BAND) -> DataFrame:
     """(doc_id, component_id): documents whose fingerprints are alike by at least `least`, by banded samples and verification.
 
     Bands of `band` samples are buckets. They are drawn by weight from the print's first samples, at lengths that
