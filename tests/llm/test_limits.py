@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.llm import langid, neardup, secrets, toxicity
+from cohortloom.llm import editprint, langid, neardup, secrets, toxicity
 
 from .test_llm import brute_groups, documents, prose
 
@@ -191,3 +191,44 @@ def test_toxicity_held_out(spark):
 def test_regular_expressions_are_those_of_the_contract():
     assert secrets.ASSIGN.pattern == r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     assert secrets.ASSIGN.flags & re.ASCII
+
+
+def plain_print(text):
+    """The embedding one character at a time: emit at the sampled steps, move on as the shared bit for (step, character) says."""
+    chars = editprint.characters(text).tolist()
+    wanted, out, i, step = set(editprint.STEPS.tolist()), [], 0, 0
+    while i < len(chars):
+        if step in wanted:
+            out.append("0123456789abcdef"[(chars[i] * 0x9E3779B1 & 0xFFFFFFFF) >> 28])
+        i += int(editprint.BITS[step % editprint.PERIOD, chars[i]])
+        step += 1
+    return "".join(out)
+
+
+def test_fingerprints_against_a_plain_walk():
+    r = random.Random(3)
+    texts = ["", "a", "éß日本👍🏽", *[prose(r.randint(1, 300), r) for _ in range(25)], "x" * 3000]
+    assert editprint.fingerprints(texts) == [plain_print(t) for t in texts]
+    for a, b in zip(texts, texts[1:], strict=False):
+        x, y = plain_print(a), plain_print(b)
+        n = max(len(x), len(y))
+        share = sum(editprint.WEIGHTS[i] for i in range(min(len(x), len(y))) if x[i] == y[i]) / sum(editprint.WEIGHTS[:n])
+        assert editprint.likeness(x, y) == pytest.approx(share)
+
+
+def test_banding_recall_and_buckets(spark):
+    r = random.Random(10)
+    base = [prose(r.randint(20, 300), r) for _ in range(150)]
+    texts = []
+    for t in base:  # neighbours in the order of ids are copies with a few edits
+        k = r.randrange(len(t))
+        texts += [t, t[:k] + r.choice(["", "zz", "a new word "]) + t[k + r.randint(0, 4) :]]
+    for n in (1, 2, 7, None):
+        got = {x.doc_id: x for x in editprint.fingerprinted(documents(spark, texts, True), n).collect()}
+        assert len(got) == len(texts)
+        for i in range(len(texts)):
+            a, b = (editprint.fingerprints([x])[0] for x in (texts[i], texts[i - 1]))
+            assert got[i].near_next == pytest.approx(editprint.likeness(a, b))
+    near = [x for x in got.values() if x.near_next >= 0.8]
+    assert len(near) > 60 and np.mean([x.found_next for x in near]) >= 0.99
+    assert not any(x.found_next for x in got.values() if x.near_next < 0.8) and not any(x.found_edited for x in got.values() if x.near_edited < 0.8)
