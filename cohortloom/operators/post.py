@@ -28,10 +28,11 @@ def risk_curve(df: DataFrame, model: Model, column: str, index: int, error: floa
     return df.select(F.col(column).cast("double").alias("x"), at(0.0).alias("y"), at(-z * error).alias("lower"), at(z * error).alias("upper"))
 
 
-def baseline(df: DataFrame, model: Model, start: str, end: str, event: str, strata: Sequence[str] = (), covariance: np.ndarray | None = None, legacy_greenwood: bool = False) -> DataFrame:
+def baseline(df: DataFrame, model: Model, start: str, end: str, event: str, strata: Sequence[str] = (), covariance: np.ndarray | None = None, legacy_greenwood: bool = False, limits: tuple[float, float] | None = None) -> DataFrame:
     """t, d, n, base (d / sum of R over rows with start <= t <= end), h, ch (strictly before t), surv, surv_se.
 
     Start is closed here without strata: a row that starts at t is at risk at t. With strata the fitting rule holds.
+    limits: only times within them come back; the sums run over all times.
     """
     r, free = risk(model), model.free
     keys = list(strata)
@@ -50,7 +51,8 @@ def baseline(df: DataFrame, model: Model, start: str, end: str, event: str, stra
         for a in range(len(free)):
             for b in range(len(free)):
                 var = var + slope[a] * slope[b] * float(covariance[a, b])
-    return per.withColumn("surv_se", F.col("surv") * F.sqrt(var)).select(*keys, "t", "d", "n", "base", "h", "ch", "surv", "surv_se")
+    out = per.withColumn("surv_se", F.col("surv") * F.sqrt(var)).select(*keys, "t", "d", "n", "base", "h", "ch", "surv", "surv_se")
+    return out if limits is None else out.where(F.col("t").between(*map(float, limits)))
 
 
 def _closed(df: DataFrame, start: str, end: str, event: str, sums: dict[str, Column]) -> DataFrame:
@@ -182,3 +184,17 @@ def poisson_residual(df: DataFrame, model: Model, pyr: str, event: str, kind: st
     dev = 2 * (F.when(e > 0, e * F.ln(e / mu)).otherwise(0.0) - (e - mu))
     value = {"risk": F.col("_r"), "pearson": (e - mu) / F.sqrt(mu), "deviance": F.signum(e - mu) * F.sqrt(F.greatest(dev, F.lit(0.0)))}[kind]
     return out.withColumn("Residual", value).drop("_r")
+
+
+def cox_after(kind: str, df: DataFrame, model: Model, start: str, end: str, event: str, **more) -> DataFrame:
+    """Any table after a Cox fit by name: survival, km (needs subject), martingale, schoenfeld (needs columns), risk (needs column, index, error)."""
+    needs = {"survival": (), "km": ("subject",), "martingale": (), "schoenfeld": ("columns",), "risk": ("column", "index", "error")}
+    if kind not in needs:
+        raise ValueError(f"{kind!r} is none of {sorted(needs)}")
+    if missing := [n for n in needs[kind] if n not in more]:
+        raise ValueError(f"{kind} needs {missing}")
+    if kind == "km":
+        return kaplan_meier(df, more["subject"], start, end, event)
+    if kind == "risk":
+        return risk_curve(df, model, **more)
+    return {"survival": baseline, "martingale": martingale, "schoenfeld": schoenfeld}[kind](df, model, start, end, event, **more)

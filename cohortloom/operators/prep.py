@@ -133,12 +133,39 @@ def b_spline(x: Column, inner: Sequence[float], low: float, high: float, degree:
     return basis if intercept else basis[1:]
 
 
-def natural_spline(x: Column, inner: Sequence[float], low: float, high: float) -> list[Column]:
-    """Natural cubic basis in truncated powers: x, then one column for each inner knot; linear beyond the bounds."""
-    cube = lambda k: F.pow(F.greatest(x - k, F.lit(0.0)), F.lit(3.0))
-    points = [low, *inner, high]
-    d = [(cube(k) - cube(high)) / (high - k) for k in points[:-1]]
-    return [x, *[d[i] - d[-1] for i in range(len(d) - 1)]]
+def _spline_values(t: np.ndarray, degree: int, x: float, order: int) -> np.ndarray:
+    """Derivatives of the given order of all B-splines over the knots t at x, by the difference formula of their derivatives."""
+    if order:
+        lower = _spline_values(t, degree - 1, x, order - 1)
+        n = len(t) - degree - 1
+        over = lambda i: lower[i] / (t[i + degree] - t[i]) if t[i + degree] > t[i] else 0.0
+        return np.array([degree * (over(i) - over(i + 1)) for i in range(n)])
+    last = max(i for i in range(len(t) - 1) if t[i] < t[i + 1])
+    b = np.array([float(t[i] <= x and (x < t[i + 1] or i == last and x <= t[i + 1])) for i in range(len(t) - 1)])
+    for d in range(1, degree + 1):
+        share = lambda a, i, j: a / (t[j] - t[i]) if t[j] > t[i] else 0.0
+        b = np.array([share(x - t[i], i, i + d) * b[i] + share(t[i + d + 1] - x, i + 1, i + d + 1) * b[i + 1] for i in range(len(t) - 1 - d)])
+    return b
+
+
+def natural_spline(x: Column, inner: Sequence[float], low: float, high: float, intercept: bool = False) -> list[Column]:
+    """Natural cubic splines: B-splines turned into the space whose second derivatives vanish at both bounds; linear beyond them.
+
+    The turn is the orthogonal factor of the bounds' second derivatives, so the columns and their coefficients are
+    those of the usual statistical packages.
+    """
+    t = np.array([low] * 4 + list(inner) + [high] * 4, float)
+    keep = slice(0 if intercept else 1, None)
+    bend = np.array([_spline_values(t, 3, b, 2) for b in (low, high)])[:, keep]
+    turn = np.linalg.qr(bend.T, mode="complete")[0][:, 2:]
+    basis = b_spline(x, inner, low, high, 3, True)[keep]
+    edge = {b: (_spline_values(t, 3, b, 0)[keep] @ turn, _spline_values(t, 3, b, 1)[keep] @ turn) for b in (low, high)}
+    out = []
+    for c in range(turn.shape[1]):
+        inside = sum((b * float(q) for b, q in zip(basis[1:], turn[1:, c], strict=True)), basis[0] * float(turn[0, c]))
+        line = lambda b, c=c: F.lit(float(edge[b][0][c])) + (x - b) * float(edge[b][1][c])
+        out.append(F.when(x < low, line(low)).when(x > high, line(high)).otherwise(inside))
+    return out
 
 
 def strata(cols: Sequence[str]) -> Column:
@@ -187,7 +214,8 @@ def independent_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
     """Columns that do not depend linearly on earlier ones: one aggregation of the Gram matrix, then pivots on the driver."""
     k = len(cols)
     at = [(i, j) for i in range(k) for j in range(i, k)]
-    r = df.agg(*[F.sum(F.col(cols[i]).cast("double") * F.col(cols[j]).cast("double")).alias(f"g{n}") for n, (i, j) in enumerate(at)]).first()
+    x = [F.lit(1.0) if c == "CONST" and c not in df.columns else F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in cols]
+    r = df.agg(*[F.sum(x[i] * x[j]).alias(f"g{n}") for n, (i, j) in enumerate(at)]).first()
     g = np.zeros((k, k))
     for n, (i, j) in enumerate(at):
         g[i, j] = g[j, i] = r[f"g{n}"] or 0.0

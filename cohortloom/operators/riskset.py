@@ -3,7 +3,11 @@
 For a summand v: S(t) = sum of v with end >= t, less the sum with start >= t. Two partial aggregations by
 (stratum, time) and one window over distinct times replace the join of rows and event times. Rows of no
 length (start = end) are at risk at their own time without strata, at all times up to it with strata.
-Competing-risk weights do not split into such sums, so that form joins rows to event times by range.
+
+Competing-risk weights min(w / w_t, 1) make it a sum over rows with w < w_t and one over the others: sums over
+a quadrant of (time, weight). Weights are ranked; each cell of a time and a rank goes to the nodes of a binary
+tree over the ranks that a query can use, and each event time reads the nodes that make up the ranks below its
+own, by cumulative sums over time within each node. So rows and event times are never joined by range.
 """
 
 from __future__ import annotations
@@ -39,16 +43,31 @@ def risk_sums(df: DataFrame, start: str, end: str, event: str, sums: Mapping[str
 
 
 def competing_sums(df: DataFrame, start: str, end: str, event: str, sums: Mapping[str, Column], weight: Column, at_events: Mapping[str, Column] | None = None, strata: Sequence[str] = ()) -> DataFrame:
-    """As risk_sums, where rows with a competing event (2) stay at risk with weight min(w / w_t, 1); w_t is the least weight of the events at t."""
+    """As risk_sums, with rows of a competing event (2) at risk for ever and each row of a risk set weighted by min(w / w_t, 1).
+
+    w_t is the weight of the first event at t: the one with the least start, then the least weight. At risk at t are
+    rows with (start < t or start = end) and end >= t, and competing ones with end <= t.
+    """
     at_events = at_events or {}
-    keys = list(strata)
+    keys, k = list(strata), range(len(sums))
     rows = df.select(*keys, F.col(start).cast("double").alias("_a"), F.col(end).cast("double").alias("_b"), F.col(event).cast("int").alias("_e"), weight.cast("double").alias("_w"), *[c.cast("double").alias(f"_s{i}") for i, c in enumerate(sums.values())], *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(at_events.values())])
-    times = rows.where("_e = 1").groupBy(*keys, F.col("_b").alias("t")).agg(F.count("*").alias("d"), F.min("_w").alias("_wt"), *[F.sum(f"_x{i}").alias(f"_y{i}") for i in range(len(at_events))])
-    r, t = rows.alias("r"), times.alias("t")
-    same = [F.col(f"r.{k}") == F.col(f"t.{k}") for k in keys]
-    cond = ((F.col("r._a") < F.col("t.t")) | (F.col("r._a") == F.col("r._b"))) & (F.col("r._b") >= F.col("t.t")) | (F.col("r._e") == 2) & (F.col("r._b") <= F.col("t.t"))
-    for s in same:
-        cond = s & cond
-    factor = F.when((F.col("r._e") == 2) & (F.col("r._b") <= F.col("t.t")), F.least(F.col("r._w") / F.col("t._wt"), F.lit(1.0))).otherwise(1.0)
-    got = r.join(t, cond).groupBy(*[F.col(f"t.{k}").alias(k) for k in keys], F.col("t.t").alias("t")).agg(F.first("t.d").alias("d"), *[F.sum(factor * F.col(f"r._s{i}")).alias(k) for i, k in enumerate(sums)], *[F.first(f"t._y{i}").alias(k) for i, k in enumerate(at_events)])
-    return got
+    times = rows.where("_e = 1").groupBy(*keys, F.col("_b").alias("t")).agg(F.count("*").alias("d"), F.min_by("_w", F.struct("_a", "_w")).alias("_wt"), *[F.sum(f"_x{i}").alias(f"_y{i}") for i in range(len(at_events))])
+    #: A row is at risk at the times up to its upper end (for ever if competing), less those up to its start.
+    upto = F.struct(F.when(F.col("_e") == 2, float("inf")).otherwise(F.col("_b")).alias("t"), F.lit(1.0).alias("w"))
+    after = F.struct(F.col("_a").alias("t"), F.lit(-1.0).alias("w"))
+    flat = rows.select("*", F.explode(F.when(F.col("_a") == F.col("_b"), F.array(upto)).otherwise(F.array(upto, after))).alias("_p"))
+    cells = flat.groupBy(*keys, F.col("_p.t").alias("t"), "_w").agg(*[F.sum(F.col("_p.w") * F.col(f"_s{i}")).alias(f"_v{i}") for i in k])
+    ranks = rows.select("_w").distinct().select("_w", (F.row_number().over(Window.orderBy("_w")) - 1).alias("_r"), F.count("*").over(Window.orderBy(F.lit(0))).alias("_n"))
+    #: Level -1 holds everything; a node of level l holds 2^l ranks.
+    level = lambda bit: F.expr(f"concat(array(-1), filter(sequence(0, cast(log2(_n) as int)), l -> shiftright(_r, l) % 2 = {bit}))")
+    node = lambda less: F.expr(f"if(_l < 0, 0, shiftright(_r, greatest(_l, 0)) - {less})")
+    put = cells.join(ranks, "_w").select("*", F.explode(level(0)).alias("_l")).withColumn("_node", node(0))
+    put = put.groupBy(*keys, "_l", "_node", "t").agg(*[F.sum(f"_v{i}").alias(f"_v{i}") for i in k], *[F.sum(F.col("_w") * F.col(f"_v{i}")).alias(f"_u{i}") for i in k])
+    ask = times.select(*keys, "t", "_wt").join(ranks, F.col("_wt") == F.col("_w")).select(*keys, "t", "_wt", "_r", "_n", F.explode(level(1)).alias("_l")).withColumn("_node", node(1))
+    none = [F.lit(0.0).alias(f"_{c}{i}") for c in "vu" for i in k]
+    both = put.withColumns({"_q": F.lit(0), "_wt": F.lit(None).cast("double")}).unionByName(ask.select(*keys, "_l", "_node", "t", *none, F.lit(1).alias("_q"), "_wt"))
+    w = Window.partitionBy(*keys, "_l", "_node").orderBy(F.desc("t"), "_q").rowsBetween(Window.unboundedPreceding, 0)
+    read = both.withColumns({f"_{c}{i}": F.sum(f"_{c}{i}").over(w) for c in "vu" for i in k}).where("_q = 1")
+    part = lambda i: F.when(F.col("_l") < 0, F.col(f"_v{i}")).otherwise(F.col(f"_u{i}") / F.col("_wt") - F.col(f"_v{i}"))
+    total = read.groupBy(*keys, "t").agg(*[F.sum(part(i)).alias(n) for i, n in enumerate(sums)])
+    return times.join(total, [*keys, "t"]).select(*keys, "t", "d", *sums, *[F.col(f"_y{i}").alias(n) for i, n in enumerate(at_events)])

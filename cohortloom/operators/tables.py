@@ -216,8 +216,10 @@ def person_time(df: DataFrame, entry: str, leave: str, scales: Sequence[Mapping]
     """Split on every scale in turn, bin, and sum: AT_RISK, PYR, F_AT_RISK, L_AT_RISK and summaries where PYR > 0.
 
     A scale is {"kind": "user", "name", "bins"}, {"kind": "calendar", "name", "starts"[, "names"]} or
-    {"kind": "age", "name", "reference", "bins", "unit"}. Dates are DateType columns (or use `dated`).
+    {"kind": "age", "name", "reference", "bins", "unit"}. Without a kind, a scale with a reference is an age scale, one
+    with starts a calendar scale, any other one is unitless. Dates are DateType columns (or use `dated`).
     """
+    scales = [{"kind": "age" if "reference" in s else "calendar" if "starts" in s else "user"} | dict(s) for s in scales]
     aliases = _events(events)
     cols = list(aliases.values())
     out, bounds, dates = df, {}, False

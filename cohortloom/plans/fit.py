@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.dist import chi2_tail, normal_cdf
 from ..functions.risk import Model
 from ..operators import likelihood as L
-from ..operators.prep import event_window, strata_with_events, truncation_fill
+from ..operators.prep import strata_with_events, truncation_fill
 
 
 @dataclass
@@ -244,15 +244,21 @@ def fit_cox(df: DataFrame, model: Model, start: str | None, end: str | None, eve
     """Cox regression; with a weight column Fine-Gray (event 2 is competing). observed: the covariance is from the observed, not the expected information."""
     control = control or Control()
     df, start, end = truncation_fill(df, start, end)
-    bad = df.agg(F.min(event), F.max(event)).first()
-    if bad[0] is None or bad[0] < 0 or bad[1] > 2:
+    need = [start, end, event, *([weight] if weight else [])]
+    #: The cohort is made once: pruned, kept, and its checks and bounds are one aggregation.
+    whole = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*need, *strata, *model.columns()])]).persist()
+    own = F.when(F.col(event) == 1, F.col(end))
+    r = whole.agg(F.min(event).alias("lo"), F.max(event).alias("hi"), F.min(own).alias("first"), F.max(own).alias("last")).first()
+    if r.lo is None or r.lo < 0 or r.hi > 2:
         raise ValueError("event status is 0, 1 or 2")
-    if not weight:
-        df = event_window(df, start, end, event)
+    if r["first"] is None:
+        raise ValueError("there is no event")
+    df = whole if weight else whole.where((F.col(end) >= F.lit(r["first"])) & (F.col(start) <= F.lit(r["last"])))
     if strata:
         df = strata_with_events(df, strata, F.col(event) == 1)
     keys = ["_strata_col"] if strata else []
-    rows, model, ranges, n = _ready(df, model, [start, end, event, *keys, *([weight] if weight else [])])
+    rows, model, ranges, n = _ready(df, model, [*need, *keys])
+    whole.unpersist()
     model = model if model.null else _hold_constant(model, ranges)
     try:
         info = _information(observed, lambda m: L.cox(rows, m, start, end, event, keys, "breslow", 2, weight, expected=True))
@@ -261,9 +267,16 @@ def fit_cox(df: DataFrame, model: Model, start: str | None, end: str | None, eve
         rows.unpersist()
 
 
+def _with_events(rows: DataFrame, event: str) -> None:
+    if not rows.agg(F.sum(event)).first()[0]:
+        rows.unpersist()
+        raise ValueError("there is no event")
+
+
 def fit_poisson(df: DataFrame, model: Model, pyr: str, event: str, strata: Sequence[str] = (), control: Control | None = None, constraints=None, observed: bool = False) -> Fit:
     control = control or Control()
     rows, model, ranges, n = _ready(df.where(F.col(pyr) > 0), model, [pyr, event, *strata])
+    _with_events(rows, event)
     try:
         info = _information(observed, lambda m: L.poisson(rows, m, pyr, event, strata, 2, expected=True))
         return _finish("Poisson", lambda m, order: L.poisson(rows, m, pyr, event, strata, order), model, control, n, constraints, ranges, info, {"pyr": pyr, "event": event, "strata": list(strata)})
@@ -274,6 +287,7 @@ def fit_poisson(df: DataFrame, model: Model, pyr: str, event: str, strata: Seque
 def fit_logistic(df: DataFrame, model: Model, trials: str | None, event: str, link: str = "odds", control: Control | None = None, constraints=None, observed: bool = False) -> Fit:
     control = control or Control()
     rows, model, ranges, n = _ready(df.where(F.col(trials) > 0) if trials else df, model, [event, *([trials] if trials else [])])
+    _with_events(rows, event)
     try:
         info = _information(observed, lambda m: L.logistic(rows, m, trials, event, link, 2, expected=True))
         return _finish("Logistic", lambda m, order: L.logistic(rows, m, trials, event, link, order), model, control, n, constraints, ranges, info, setup={"trials": trials, "event": event, "link": link})
@@ -412,3 +426,33 @@ def venzon_moolgavkar(evaluate: Callable[[Model, int], L.Point], best: Fit, inde
             beta[free] += move
         out.append(found)
     return out[0], out[1]
+
+
+def held_at(refit: Callable[[Model], Fit], best: Fit, index: int, value: float) -> Model:
+    """The model with one parameter held at a value and the others, if any, fitted again."""
+    from dataclasses import replace
+
+    held = replace(best.model, elements=tuple(replace(e, value=float(value), fixed=True) if i == index else e for i, e in enumerate(best.model.elements)))
+    got = refit(held).model if held.free else held
+    return replace(got, elements=tuple(replace(g, fixed=e.fixed) for g, e in zip(got.elements, best.model.elements, strict=True)))
+
+
+def assigned_bounds(df: DataFrame, refit: Callable[[Model], Fit], best: Fit, index: int, pyr: str, event: str, strata: Sequence[str] = (), z: float = 1.96, limits: tuple[float | None, float | None] | None = None) -> dict[str, DataFrame]:
+    """Assigned events at the estimate and with one parameter at beta -+ z SE, or at given limits of a bound; the others are fitted again."""
+    from ..operators.post import event_assignment
+
+    b, se = best.beta[index], best.standard_error[index]
+    lower, upper = limits or (b - z * se, b + z * se)
+    at = {"lower": lower, "mid": None, "upper": upper}
+    out = {}
+    for k, x in at.items():
+        if k != "mid" and x is None:
+            continue  # a bound that was not found
+        out[k] = event_assignment(df, best.model if x is None else held_at(refit, best, index, x), pyr, event, strata)
+    return out
+
+
+def bound_from_starts(refit: Callable[[Model], Fit], evaluate: Callable[[Model, int], L.Point], best: Fit, index: int, guesses: Sequence[Sequence[float]], alpha: float = 0.05) -> tuple[float | None, float | None]:
+    """Bounds by Newton steps from the best of several starting points: a better maximum found on the way replaces the first."""
+    top = fit_best(refit, best.model, [best.beta, *guesses])
+    return venzon_moolgavkar(evaluate, top if top.loglik > best.loglik else best, index, alpha)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.risk import Element, Model
@@ -21,10 +21,31 @@ SUBTERM_NAMES = {
     "lin_exp": ("lin_exp_slope", "lin_exp_int", "lin_exp_exp_slope"), "linear_exponential_dose": ("lin_exp_slope", "lin_exp_int", "lin_exp_exp_slope"), "linexp": ("lin_exp_slope", "lin_exp_int", "lin_exp_exp_slope"),
 }
 FORM_NAMES = {"m": "M", "multiplicative": "M", "me": "ME", "multiplicative_excess": "ME", "multiplicative-excess": "ME", "a": "A", "additive": "A", "pa": "PA", "product_additive": "PA", "product-additive": "PA", "pae": "PAE", "product_additive_excess": "PAE", "product-additive-excess": "PAE", "gmix": "GMIX", "geometric_mixture": "GMIX"}
-FAMILIES = {"cox": "cox", "cox_strata": "cox", "finegray": "finegray", "fine_gray": "finegray", "finegray_strata": "finegray", "poisson": "poisson", "pois": "poisson", "poisson_strata": "poisson", "pois_strata": "poisson", "casecontrol": "casecontrol", "casecontrol_time": "casecontrol", "casecontrol_strata": "casecontrol", "casecontrol_time_strata": "casecontrol", "logit": "logit", "logistic": "logit"}
+FAMILIES = {
+    "cox": "cox", "coxph": "cox", "cx": "cox", "cox_strata": "cox", "coxph_strata": "cox",
+    "finegray": "finegray", "fine_gray": "finegray", "fg": "finegray", "finegray_strata": "finegray", "fine_gray_strata": "finegray", "fg_strata": "finegray",
+    "poisson": "poisson", "pois": "poisson", "poisson_strata": "poisson", "pois_strata": "poisson",
+    "casecon": "casecontrol", "casecontrol": "casecontrol", "case_control": "casecontrol", "casecon_time": "casecontrol", "casecontrol_time": "casecontrol", "case_control_time": "casecontrol",
+    "casecon_strata": "casecontrol", "casecontrol_strata": "casecontrol", "case_control_strata": "casecontrol", "casecon_strata_time": "casecontrol", "casecontrol_strata_time": "casecontrol",
+    "case_control_strata_time": "casecontrol", "casecon_time_strata": "casecontrol", "casecontrol_time_strata": "casecontrol", "case_control_time_strata": "casecontrol",
+    "logit": "logit", "logistic": "logit",
+}
 FUNCTIONS = {"exp": F.exp, "log": F.ln, "sqrt": F.sqrt, "abs": F.abs, "log2": F.log2, "log10": F.log10, "sin": F.sin, "cos": F.cos, "floor": F.floor, "ceiling": F.ceil}
 
 
+def register(name: str, function: Callable[[Column], Column]) -> None:
+    """Let formulas use `name(x)`, which makes the column `x_name`."""
+    FUNCTIONS[name] = function
+
+
+def matched(name: str, choices) -> str | None:
+    """The choice of that name, or the only one that starts with it."""
+    if name in choices:
+        return name
+    found = [c for c in choices if c.startswith(name)]
+    return found[0] if len(found) == 1 else None
+
+
 @dataclass
 class Survival:
     family: str
@@ -66,9 +87,10 @@ def literal(text: str):
 
 def left_side(text: str) -> Survival:
     m = re.fullmatch(r"(\w+)\((.*)\)", text)
-    if not m or m[1].lower() not in FAMILIES:
+    kind = matched(m[1].lower(), FAMILIES) if m else None
+    if not kind:
         raise ValueError(f"unknown survival type in {text!r}")
-    kind, family = m[1].lower(), FAMILIES[m[1].lower()]
+    family = FAMILIES[kind]
     free, named = [], {}
     for a in split_args(m[2]):
         if "=" in a:
@@ -80,6 +102,7 @@ def left_side(text: str) -> Survival:
     wants = {"cox": ["start", "end", "event"], "finegray": ["start", "end", "event"], "poisson": ["pyr", "event"], "logit": ["trials", "event"], "casecontrol": ["start", "end", "event"] if "time" in kind else ["event"]}[family]
     wants = [*wants, *(["strata"] if "strata" in kind else []), *(["weight"] if family == "finegray" else [])]
     rename = {"tstart": "start", "tend": "end", "person_years": "pyr", "strata": "strata", "weight": "weight"}
+    named = {matched(k.lower(), ("tstart", "tend", "start", "end", "event", "strata", "weight", "pyr", "person_years", "trials")) or k: v for k, v in named.items()}
     for k, v in named.items():
         k = rename.get(k, k)
         if k not in wants:
@@ -130,8 +153,8 @@ def _apply(df: DataFrame, step: tuple) -> DataFrame:
             x = x * F.col(c)
         return df.withColumn(col, x)
     if kind == "ns":
-        inner, lo, hi = rest
-        return df.withColumns({f"{col}_ns{i + 1}": c for i, c in enumerate(prep.natural_spline(F.col(col).cast("double"), inner, lo, hi))})
+        inner, lo, hi, intercept = rest
+        return df.withColumns({f"{col}_ns{i + 1}": c for i, c in enumerate(prep.natural_spline(F.col(col).cast("double"), inner, lo, hi, intercept))})
     if kind == "bs":
         inner, lo, hi, degree, intercept = rest
         return df.withColumns({f"{col}_bs{i + 1}": c for i, c in enumerate(prep.b_spline(F.col(col).cast("double"), inner, lo, hi, degree, intercept))})
@@ -174,8 +197,8 @@ def _derived(df: DataFrame, text: str, replay: list[tuple]) -> tuple[DataFrame,
             inner = [float(k) for k in (named["knots"] if isinstance(named["knots"], list) else [named["knots"]])]
         if "Boundary.knots" in named:
             lo, hi = map(float, named["Boundary.knots"])
-        step = ("ns", col, inner, lo, hi) if name == "ns" else ("bs", col, inner, lo, hi, degree, bool(named.get("intercept")))
-        k = len(inner) + (1 if name == "ns" else degree + bool(named.get("intercept")))
+        step = ("ns", col, inner, lo, hi, bool(named.get("intercept"))) if name == "ns" else ("bs", col, inner, lo, hi, degree, bool(named.get("intercept")))
+        k = len(inner) + (1 if name == "ns" else degree) + bool(named.get("intercept"))
         out = [f"{col}_{name}{i + 1}" for i in range(k)]
     elif name in FUNCTIONS:
         step, out = ("function", col, name), [f"{col}_{name}"]
@@ -185,8 +208,23 @@ def _derived(df: DataFrame, text: str, replay: list[tuple]) -> tuple[DataFrame,
     return _apply(df, step), out
 
 
-def parse(text: str, df: DataFrame) -> Formula:
-    """Model, data with derived columns, and the steps to derive them again."""
+def _independent(df: DataFrame, elements: list[Element]) -> list[Element]:
+    """Without the columns that depend linearly on earlier ones of the same subterm and term."""
+    groups: dict[tuple, list[str]] = {}
+    for e in elements:
+        groups.setdefault((e.subterm, e.term), []).append(e.column)
+    kept = {k: prep.independent_columns(df, list(dict.fromkeys(c))) if len(c) > 1 else c for k, c in groups.items()}
+    out, seen = [], set()
+    for e in elements:
+        at = (e.subterm, e.term, e.column)
+        if e.column in kept[at[:2]] and at not in seen:
+            out.append(e)
+        seen.add(at)
+    return out
+
+
+def parse(text: str, df: DataFrame, check_rank: bool = True) -> Formula:
+    """Model, data with derived columns, and the steps to derive them again; dependent columns of a subterm and term go."""
     text = re.sub(r"\s+", "", text)
     left, _, right = text.partition("~")
     survival = left_side(left)
@@ -218,6 +256,8 @@ def parse(text: str, df: DataFrame) -> Formula:
                 elements += [Element(c, term, s) for c in cols for s in SUBTERM_NAMES[name]]
         else:
             raise ValueError(f"unknown subterm {name}")
+    if check_rank:
+        elements = _independent(df, elements)
     if not null and not elements:
         raise ValueError("the model has no parameters")
     terms = sorted({e.term for e in elements})

@@ -157,8 +157,8 @@ def test_expected_information(spark):
             for t in sorted(set(b[(e == 1) & g])):
                 own = (b == t) & (e == 1) & g
                 c = ((a < t) & (t <= b) & g).astype(float)
-                if weighted:
-                    c = np.where((e == 2) & (b <= t) & g, np.minimum(w / w[own].min(), 1), c)
+                if weighted:  # all rows of the set are weighted, against the first event's weight
+                    c = (g & ((((a < t) | (a == b)) & (b >= t)) | ((e == 2) & (b <= t)))) * np.minimum(w / sorted(zip(a[own], w[own], strict=True))[0][1], 1)
                 q = c * r / (c * r).sum()
                 mean = q @ u
                 out += own.sum() * ((u.T * q) @ u - np.outer(mean, mean))
