@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.risk import Element, Model, risk
 from ..operators import likelihood as L
 from ..operators import post, prep, tables, timedep
-from ..operators.riskset import competing_sums, risk_sums
+from ..operators.riskset import risk_sums
 from ..sources.io import parquet
 from ..streaming.counts import windowed_counts
 from . import fit as fits
@@ -181,18 +181,6 @@ def power(spark, sf_dir):
     return prep.power(parquet(spark, sf_dir, "lineitem"), "l_quantity", 2).select("l_orderkey", "l_linenumber", "l_quantity^2")
 
 
-@query("SELECT unnest(['l_quantity', 'l_tax']) AS kept")
-def duplicate_columns(spark, sf_dir):
-    df = parquet(spark, sf_dir, "lineitem").withColumns({"same": F.col("l_quantity"), "zero": F.lit(0.0)})
-    return spark.createDataFrame([(c,) for c in prep.distinct_columns(df, ["l_quantity", "l_tax", "same", "zero"])], "kept string")
-
-
-@query("SELECT unnest(['l_quantity', 'l_tax']) AS kept")
-def independent_columns(spark, sf_dir):
-    df = parquet(spark, sf_dir, "lineitem").withColumn("mixed", 2 * F.col("l_quantity") - F.col("l_tax"))
-    return spark.createDataFrame([(c,) for c in prep.independent_columns(df, ["l_quantity", "l_tax", "mixed"])], "kept string")
-
-
 @query("SELECT o_orderkey, concat_ws('_', CAST(o_custkey AS VARCHAR), o_orderpriority) AS _strata_col FROM orders o WHERE EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderpriority = o.o_orderpriority AND p.o_orderstatus = 'F')")
 def strata_semi_filter(spark, sf_dir):
     return prep.strata_with_events(parquet(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], F.col("o_orderstatus") == "F").select("o_orderkey", "_strata_col")
@@ -262,19 +250,6 @@ def risk_set_strata(spark, sf_dir):
     return risk_sums(cohort(spark, sf_dir), "a", "b", "e", {"n": F.lit(1.0)}, strata=["s"])
 
 
-_CR = f"WITH {COHORT}, r AS (SELECT *, CASE WHEN e = 0 AND k % 5 = 0 THEN 2 ELSE e END AS ev, 1 / (1 + b / 1000) AS w FROM cohort), t AS (SELECT s, b AS t, count(*) AS d, min(w) AS wt FROM r WHERE ev = 1 AND b < 400 GROUP BY 1, 2)"
-
-
-def _competing(spark, sf_dir):
-    df = cohort(spark, sf_dir)
-    return df.withColumns({"ev": F.when((F.col("e") == 0) & (F.col("k") % 5 == 0), 2).when((F.col("e") == 1) & (F.col("b") >= 400), 0).otherwise(F.col("e")), "w": 1 / (1 + F.col("b") / 1000)})
-
-
-@query(_CR + " SELECT t.s, t.t, d, round(sum(CASE WHEN ev = 2 AND b <= t.t THEN least(w / wt, 1) ELSE 1 END), 6) AS n FROM t JOIN r c ON c.s = t.s AND ((c.a < t.t OR c.a = c.b) AND c.b >= t.t OR c.ev = 2 AND c.b <= t.t) GROUP BY 1, 2, 3")
-def risk_set_competing(spark, sf_dir):
-    return _six(competing_sums(_competing(spark, sf_dir), "a", "b", "ev", {"n": F.lit(1.0)}, F.col("w"), strata=["s"]), "n")
-
-
 # ---- risk algebra
 
 _E = (Element("l_tax", 0, "loglin", 0.5), Element("l_discount", 1, "lin", 0.8), Element("l_quantity", 1, "plin", 0.01), Element("l_quantity", 2, "lin", 0.02))
@@ -398,11 +373,6 @@ def cox_information_fixed_beta(spark, sf_dir):
     return _row(spark, information=round(float(-L.cox(cohort(spark, sf_dir), _XM, "a", "b", "e").hessian[0, 0]), 4))
 
 
-@query(_CR + ", q AS (SELECT t.s, t.t, d, sum(CASE WHEN ev = 2 AND b <= t.t THEN least(w / wt, 1) ELSE 1 END * exp(0.1 * x)) AS s0 FROM t JOIN r c ON c.s = t.s AND ((c.a < t.t OR c.a = c.b) AND c.b >= t.t OR c.ev = 2 AND c.b <= t.t) GROUP BY 1, 2, 3) SELECT round((SELECT sum(0.1 * x) FROM r WHERE ev = 1 AND b < 400) - sum(d * ln(s0)), 4) AS loglik FROM q")
-def fine_gray_loglik(spark, sf_dir):
-    return _row(spark, loglik=round(L.cox(_competing(spark, sf_dir), _XM, "a", "b", "ev", ["s"], order=0, weight="w").value, 4))
-
-
 # ---- fits
 
 _TIGHT = fits.Control(rate=1.0, rounds=40, epsilon=1e-10, ll_epsilon=1e-12, gradient_epsilon=1e-7, step_max=2.0)
@@ -429,54 +399,6 @@ def logit_factor_fit(spark, sf_dir):
     return f.to_df(spark).select("covariate", F.round("estimate", 5).alias("estimate"))
 
 
-@query()
-def cox_fit(spark, sf_dir):
-    return fits.fit_cox(cohort(spark, sf_dir), _XM.at([0.0]), "a", "b", "e").to_df(spark)
-
-
-@query()
-def cox_fit_strata_efron(spark, sf_dir):
-    return fits.fit_cox(cohort(spark, sf_dir), _XM.at([0.0]), "a", "b", "e", ["s"], control=fits.Control(ties="efron")).to_df(spark)
-
-
-@query()
-def poisson_fit(spark, sf_dir):
-    return fits.fit_poisson(person_years(spark, sf_dir), _PM, "pyr", "n").to_df(spark)
-
-
-@query()
-def poisson_gradient_fit(spark, sf_dir):
-    return fits.fit_poisson(person_years(spark, sf_dir), _PM, "pyr", "n", control=fits.Control(method="adam", rate=0.05, rounds=15)).to_df(spark)
-
-
-@query()
-def poisson_constraint_fit(spark, sf_dir):
-    m = Model((Element("CONST", 0, "loglin", -3.0), Element("dose", 0, "loglin", 0.0)))
-    return fits.fit_poisson(person_years(spark, sf_dir), m, "pyr", "n", constraints=([[0.0, 1.0]], [0.01])).to_df(spark)
-
-
-@query()
-def casecontrol_fit(spark, sf_dir):
-    return fits.fit_case_control(cohort(spark, sf_dir), _XM.at([0.0]), "e", ["id"]).to_df(spark)
-
-
-@query()
-def likelihood_bound(spark, sf_dir):
-    df = person_years(spark, sf_dir).persist()
-    m = Model((Element("CONST", 0, "loglin", -3.0), Element("dose", 0, "loglin", 0.0)))
-    best = fits.fit_poisson(df, m, "pyr", "n", control=_TIGHT)
-    lo, hi = fits.venzon_moolgavkar(lambda x, order: L.poisson(df, x, "pyr", "n", (), order), best, 1)
-    df.unpersist()
-    return _row(spark, lower=lo, estimate=best.beta[1], upper=hi)
-
-
-@query()
-def multi_realization_fit(spark, sf_dir):
-    df = person_years(spark, sf_dir).withColumns({"dose_0": F.col("dose"), "dose_1": F.col("dose") * 1.1})
-    f = fits.fit_realizations(lambda m: fits.fit_poisson(df, m, "pyr", "n"), _PM, {"dose": ["dose_0", "dose_1"]})
-    return f[0].to_df(spark).withColumn("realization", F.lit(0)).union(f[1].to_df(spark).withColumn("realization", F.lit(1)))
-
-
 @query(f"WITH {COHORT} SELECT round(sum(l), 4) AS loglik FROM (SELECT id, sum(CASE WHEN e = 1 THEN 0.1 * x END) - ln(sum(exp(0.1 * x))) AS l FROM cohort GROUP BY 1 HAVING sum(e) = 1)")
 def matched_sets_b1(spark, sf_dir):
     df = cohort(spark, sf_dir)

@@ -120,7 +120,10 @@ def _step(point: L.Point, control: Control, state: dict, cons, beta: np.ndarray)
             kkt = np.block([[h, a.T], [a, np.zeros((k, k))]])
             return np.linalg.lstsq(kkt, np.concatenate([-g, b - a @ beta]), rcond=None)[0][: len(g)]
         step = np.linalg.lstsq(-h, g, rcond=None)[0] * control.rate
-        return np.where(step * g + 0.5 * step * step * np.diag(h) < 0, -step, step) if (step @ g) < 0 else step
+        if step @ g < 0:  # the likelihood is not concave here: turn the directions that lead down
+            size, axes = np.linalg.eigh(-h)
+            step = axes @ ((axes.T @ g) / np.maximum(np.abs(size), 1e-8 * np.abs(size).max())) * control.rate
+        return step
     if control.method == "gradient":
         step = control.rate * g
     elif control.method == "momentum":
@@ -165,10 +168,7 @@ def maximize(evaluate: Callable[[Model, int], L.Point], model: Model, control: C
         step = _step(point, control, state, cons, beta[free])
         if cons is None:
             step = np.clip(step, -cap * shrink, cap * shrink)
-        if cons is None and abs(point.gradient @ step) < 1e-13 * (1 + abs(point.value)):
-            converged = True  # what a step can still gain is below rounding
-            break
-        better = None
+        gain, better = abs(point.gradient @ step), None
         for _ in range(control.halvings + 1):
             new = beta.copy()
             new[free] += step
@@ -178,11 +178,18 @@ def maximize(evaluate: Callable[[Model, int], L.Point], model: Model, control: C
                     new[i] = min(max(new[i], ranges[e.column][0]), ranges[e.column][1])
             trial = model.at(new)
             got = evaluate(trial, 2)
-            if got.feasible and (got.value > point.value or cons is not None and r == 1):
+            #: Values that differ by rounding only are told apart by their gradients.
+            level = got.feasible and abs(got.value - point.value) <= 1e-12 * (1 + abs(point.value)) and np.abs(got.gradient).max() < np.abs(point.gradient).max()
+            if got.feasible and (got.value > point.value or level or cons is not None and r == 1):
                 better = (trial, got)
                 break
+            if cons is None and got.feasible and gain < 1e-11 * (1 + abs(point.value)):
+                break
             step = step / (2 if got.feasible else 1.5)
         if better is None:
+            if cons is None and gain < 1e-11 * (1 + abs(point.value)):
+                converged = True  # what a step can still gain is below rounding
+                break
             shrink /= 2
             if shrink < control.epsilon:
                 converged = True
