@@ -166,7 +166,9 @@ def maximize(evaluate: Callable[[Model, int], L.Point], model: Model, control: C
             break
         beta = np.array(model.values)
         step = _step(point, control, state, cons, beta[free])
-        if cons is None:
+        if cons is None and control.method == "newton":
+            step = step * min(1.0, float(np.min(cap * shrink / np.maximum(np.abs(step), 1e-300))))  # as a whole: its direction leads up
+        elif cons is None:
             step = np.clip(step, -cap * shrink, cap * shrink)
         gain, better = abs(point.gradient @ step), None
         for _ in range(control.halvings + 1):
