@@ -2,14 +2,17 @@
 
 A text is cut where a rolling hash of the last four bytes before ASCII white space hits a target, so
 equal passages in different documents give equal chunks whatever stands before them. A chunk is
-encoded once by each worker and then reused (a bounded cache of chunks, and
-within new chunks one of words, the smallest chunks there are). White space always ends a pre-token, so such joins agree; a
+encoded once by each worker and then reused for all documents that the worker reads (a bounded cache of
+chunks, and within new chunks one of words, the smallest chunks there are): of the chunks of a corpus without
+copies most are new, so a table of all chunks would shuffle more than it saves, while most words are not. With
+the settings of `KNOWN` white space always ends a pre-token, so such joins agree without repair; a
 word longer than `LONG` has no such place, is cut at a fixed length and its joins are repaired: the last
 pre-tokens before the join, which the text after it can change, are encoded again with the next
 piece until those before them can change no more.
 
-The ids equal those of the library for the whole text. The vocabulary file is a parameter and is read
-by each worker; nothing is trained.
+The ids equal those of the library for the whole text, and the decoded text is made from the ids. The
+vocabulary file is a parameter and is read by each worker; nothing is trained. A file with other settings
+than `KNOWN` is encoded and decoded by the library, whole texts at a time.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; repeated rows are
 encoded alike; other columns are ignored or, by `with_tokens`, kept.
@@ -18,6 +21,7 @@ encoded alike; other columns are ignored or, by `with_tokens`, kept.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import sys
@@ -34,6 +38,23 @@ from .common import id_and_text, ship
 CHUNK_BITS, LONG, CARRY = 6, 512, 3
 CHUNKS, WORDS = 20_000, 250_000
 BATCH = 256
+#: The settings of a tokenizer file for which chunks may be cut at white space and simple words taken apart.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None, "decoder": None, "end_of_word_suffix": "</w>",
+    "added": {("<|startoftext|>", False, False, False, False), ("<|endoftext|>", False, False, False, False)},
+}
+
+
+def settings(path: str) -> dict:
+    """What KNOWN holds, of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    added = {(t["content"], t["single_word"], t["lstrip"], t["rstrip"], t["normalized"]) for t in d["added_tokens"]}
+    return {k: d[k] for k in ("normalizer", "pre_tokenizer", "post_processor", "decoder")} | {"end_of_word_suffix": d["model"].get("end_of_word_suffix"), "added": added}
+
+
 #: Words of ASCII and composed Latin-1 letters, digits and ASCII marks but the apostrophe; their pre-tokens.
 SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
 SPLIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -59,18 +80,22 @@ class Encoder:
         self.model.no_padding()
         self.names: dict[int, str] = {i: t for t, i in self.model.get_vocab(with_added_tokens=True).items()}
         self.special = set(self.model.get_added_tokens_decoder())
+        self.known = settings(path) == KNOWN
         pre = self.model.pre_tokenizer
         #: How the byte-level step spells the letters of simple words.
-        self.spelled = {ord(c): pre.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
-        self.chunks: dict[bytes, tuple[bytes, str]] = {}
-        #: Words (the smallest chunks), old ones, and pre-tokens of simple words: ids and names.
-        self.words: dict[bytes, tuple[bytes, str]] = {}
-        self.old: dict[bytes, tuple[bytes, str]] = {}
-        self.pieces: dict[str, tuple[bytes, str]] = {}
-
-    def encoded(self, ids: list[int]) -> tuple[bytes, str]:
-        names = self.names
-        return array("I", ids).tobytes(), " ".join([names[i] for i in ids])
+        self.spelled = {ord(c): pre.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()} if self.known else {}
+        #: Ids of chunks, of words (the smallest chunks), of old ones, and of the pre-tokens of simple words.
+        self.chunks: dict[bytes, bytes | None] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def decoded(self, raw: bytes) -> str:
+        """The library's decode of the ids, special tokens included."""
+        ids = np.frombuffer(raw, "<u4").tolist()
+        if not self.known:
+            return self.model.decode(ids, skip_special_tokens=False)
+        return " ".join(map(self.names.__getitem__, ids))  # no decoder: the tokens as they are
 
     def long_word(self, word: str, piece: int = LONG) -> list[int]:
         """Pieces with repaired joins; exactly the ids of the whole word."""
@@ -90,15 +115,14 @@ class Encoder:
             window, at = window + word[at : at + step], at + step
         return ids + self.model.encode(window, add_special_tokens=False).ids
 
-    def simple_word(self, text: str) -> tuple[bytes, str]:
+    def simple_word(self, text: str) -> bytes:
         """A word whose normal form and pre-tokens are plain: the library's model encodes each new pre-token."""
         out = []
         for p in SPLIT.findall(text.lower()):
             if (x := self.pieces.get(p)) is None:
-                tokens = self.model.model.tokenize(p.translate(self.spelled))
-                x = self.pieces[p] = array("I", [t.id for t in tokens]).tobytes(), " ".join([t.value for t in tokens])
+                x = self.pieces[p] = array("I", [t.id for t in self.model.model.tokenize(p.translate(self.spelled))]).tobytes()
             out.append(x)
-        return out[0] if len(out) == 1 else (b"".join([x[0] for x in out]), " ".join([x[1] for x in out]))
+        return b"".join(out)
 
     def learn(self, words: set[bytes]) -> None:
         """Have all the words in self.words."""
@@ -111,7 +135,7 @@ class Encoder:
             if (x := self.old.get(w)) is None:
                 text = w.decode("utf-8", "surrogatepass")
                 if len(text) > 2 * LONG:
-                    x = self.encoded(self.long_word(text))
+                    x = array("I", self.long_word(text)).tobytes()
                 elif SIMPLE.fullmatch(text) and "<|" not in text:
                     x = self.simple_word(text)
                 else:
@@ -121,10 +145,15 @@ class Encoder:
         for a in range(0, len(hard), 2000):
             part = hard[a : a + 2000]
             for (w, _), e in zip(part, self.model.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
-                self.words[w] = self.encoded(e.ids)
+                self.words[w] = array("I", e.ids).tobytes()
 
     def texts(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Ids and decoded text of each text."""
+        if not self.known:
+            for t in texts:
+                raw = array("I", self.model.encode(t, add_special_tokens=False).ids).tobytes()
+                yield raw, self.decoded(raw)
+            return
         if len(self.chunks) > CHUNKS:
             self.chunks = {}
         chunks, chunked, words = self.chunks, [], set()
@@ -142,10 +171,10 @@ class Encoder:
             out = []
             for p in parts:
                 if (x := chunks[p]) is None:
-                    found = [get(w) for w in p.split()]
-                    x = chunks[p] = b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])
+                    x = chunks[p] = b"".join([get(w) for w in p.split()])
                 out.append(x)
-            yield b"".join([x[0] for x in out]), " ".join([x[1] for x in out if x[1]])
+            raw = b"".join(out)
+            yield raw, self.decoded(raw)
 
 
 def cuts(raw: bytes, bits: int = CHUNK_BITS) -> list[tuple[int, int]]:
@@ -218,8 +247,7 @@ def with_tokens(docs: DataFrame, path: str | None = None, text: str = "text", id
 
 def decode(ids, path: str | None = None) -> str:
     """The library's decode(ids, skip_special_tokens=False)."""
-    names = encoder(path).names
-    return " ".join(names[int(i)] for i in ids if int(i) in names)
+    return encoder(path).decoded(array("I", [int(i) for i in ids]).tobytes())
 
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:

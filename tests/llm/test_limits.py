@@ -232,3 +232,24 @@ def test_banding_recall_and_buckets(spark):
     near = [x for x in got.values() if x.near_next >= 0.8]
     assert len(near) > 60 and np.mean([x.found_next for x in near]) >= 0.99
     assert not any(x.found_next for x in got.values() if x.near_next < 0.8) and not any(x.found_edited for x in got.values() if x.near_edited < 0.8)
+
+
+def test_other_vocabularies_are_left_to_the_library(spark):
+    import hashlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from cohortloom.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = [None, "", "Some words, and  more\n\twords: it's 12345 <|endoftext|> é日本", prose(200)]
+    got = {x.doc_id: x for x in bpe.digests(documents(spark, texts), path).collect()}
+    for i, x in enumerate(texts):
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.encoder(None).known and not bpe.encoder(path).known
+    assert bpe.digests(documents(spark, texts).where("false")).count() == 0
+    assert secrets.scan(documents(spark, texts).where("false")).count() == 0
