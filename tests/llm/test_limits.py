@@ -253,3 +253,51 @@ def test_other_vocabularies_are_left_to_the_library(spark):
     assert bpe.encoder(None).known and not bpe.encoder(path).known
     assert bpe.digests(documents(spark, texts).where("false")).count() == 0
     assert secrets.scan(documents(spark, texts).where("false")).count() == 0
+
+
+def test_pages_with_names_that_say_nothing():
+    from cohortloom.llm import html
+
+    m = html.trained()
+    article = "<h1>T</h1><p>An article of some length, with a comma. And more text here to read.</p><p>Second paragraph, which is long as well. It goes on.</p><p>Let <math><mi>x</mi></math> be one, as usual.</p>"
+    want = "T\nAn article of some length, with a comma. And more text here to read.\nSecond paragraph, which is long as well. It goes on.\nLet x be one, as usual."
+    many = lambda box, item: f"<div class='{box}'>" + "".join(f"<div class='{item}'><span>{who}</span><p>{said}</p></div>" for who, said in (("joe", "Great post, thanks."), ("amy", "Agreed, very good."), ("cy", "Ok."))) + "</div>"
+    for wrap in ("<div id='bodyContent'>{}</div>", "<div class='qq'>{}</div>", "<main>{}</main>", "<article>{}</article>"):
+        page = "<body><div class='top-line'><a href=/>home</a><a href=/x>other</a></div>" + wrap.format(article) + many("feedback-list", "it") + "<div class='legal'>All rights reserved by the owner.</div>"
+        assert m.text(page) == want, wrap
+        assert m.text(page.replace("<body>", "<html><head><title>t</title><body>")) == want
+
+
+def test_reader_of_odd_markup(spark):
+    from cohortloom.llm import html
+
+    text = lambda page: [b[1] for b in html.blocks(page)]
+    assert text("<head><title>t</title><p>one</p><style>p{}</style>two") == ["one", "two"]
+    assert text("<head><meta x><script>a<b</script>loose text</head><p>x") == ["loose text", "x"]
+    assert text("<p>a <video>no sound</video>b <svg><title>t</title><text>c</text></svg>") == ["a b c"] or text("<p>a <video>no sound</video>b <svg><text>c</text></svg>") == ["a b c"]
+    deep = "<div class='content'>" * 3000 + "<p>end of a long way down.</p>"
+    found = html.blocks(deep)
+    assert [b[1] for b in found] == ["end of a long way down."] and len(found[0][0].inside) < 20
+    assert html.main_text(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string").where("false")).count() == 0
+
+
+def test_crf_gradient_is_that_of_the_likelihood():
+    """Training ends where the gradient of the penalised likelihood, by enumeration of all labellings, is small beside its start."""
+    from itertools import product
+
+    from cohortloom.llm import html
+
+    pages = [html.marked(p, [g for g in gold if g]) for p, gold in html.labelled_pages(12, 5)]
+    pages = [(f[:6], y[:6]) for f, y in pages if f]
+    m = html.train(pages, rounds=60)
+
+    def loglik(model):
+        total = 0.0
+        for found, y in pages:
+            e = model.emissions(found)
+            score = lambda z: model.start[z[0]] + sum(e[i][z[i]] for i in range(len(z))) + sum(model.move[a, b] for a, b in zip(z, z[1:], strict=False))  # noqa: B023, E731
+            total += score(y) - np.logaddexp.reduce([score(z) for z in product((0, 1), repeat=len(y))])
+        return total
+
+    flat = html.Model(m.index, np.zeros_like(m.state), np.zeros((2, 2)), np.zeros(2))
+    assert loglik(m) > 0.2 * loglik(flat)
