@@ -130,8 +130,8 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, mine_new = [own[id(x)] for x, _ in pairs], prints[len(rows) :]
         following = [own[id(y)] for _, y in pairs]
         near_new, near_next = [likeness(a, b) for a, b in zip(mine, mine_new, strict=True)], [likeness(a, b) for a, b in zip(mine, following, strict=True)]
-        keys = {p: band_keys(p, LEAST, BAND) for p in {*mine, *mine_new, *following}}
-        found = [[bool(y >= LEAST and (a == b or len(np.intersect1d(keys[a], keys[b])))) for a, b, y in zip(mine, other, near, strict=True)] for other, near in ((mine_new, near_new), (following, near_next))]
+        #: The likeness of these pairs is wanted anyway, so bands are made only for those that verification passes.
+        found = [[y >= LEAST and _candidates(a, b) for a, b, y in zip(mine, other, near, strict=True)] for other, near in ((mine_new, near_new), (following, near_next))]
         cols = [
             pa.array([x[2] for x, _ in pairs], pa.int64()), pa.array([len(x[3]) for x, _ in pairs], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new]),
             pa.array(mine), pa.array(mine_new), pa.array(near_new, pa.float64()), pa.array(near_next, pa.float64()), *(pa.array(x, pa.bool_()) for x in found),
@@ -245,6 +245,11 @@ def band_keys(p: str, least: float, band: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _candidates(a: str, b: str) -> bool:
+    """Whether banding makes a pair of two prints: they are equal or share a bucket."""
+    return a == b or bool(len(np.intersect1d(band_keys(a, LEAST, BAND), band_keys(b, LEAST, BAND))))
+
+
 def near_groups(docs: DataFrame, least: float = LEAST, band: int = BAND) -> DataFrame:
     """(doc_id, component_id): documents whose fingerprints are alike by at least `least`, by banded samples and verification.
 
