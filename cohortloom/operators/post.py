@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.risk import Model, risk
+from .prefix import running
 from .riskset import risk_sums
 
 
@@ -38,16 +39,15 @@ def baseline(df: DataFrame, model: Model, start: str, end: str, event: str, stra
     keys = list(strata)
     sums = {"SR": r.v, "n": F.lit(1.0)} | {f"S{i}": r.g.get(i, F.lit(0.0)) for i in free}
     per = risk_sums(df, start, end, event, sums, {}, keys) if keys else _closed(df, start, end, event, sums)
-    w = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     d = F.col("d").cast("double")
     green = F.floor(F.floor(d / F.col("n")) / F.nullif(F.col("n") - d, F.lit(0.0))) if legacy_greenwood else d / F.col("n") / F.nullif(F.col("n") - d, F.lit(0.0))
     per = per.withColumns({"base": d / F.col("SR"), "_green": F.coalesce(green, F.lit(0.0))} | {f"_b{i}": d * F.col(f"S{i}") / (F.col("SR") * F.col("SR")) for i in free})
-    per = per.withColumn("ch", F.coalesce(F.sum("base").over(w), F.lit(0.0)))
-    per = per.withColumn("h", F.col("ch") - F.coalesce(F.lag("ch").over(Window.partitionBy(*keys).orderBy("t")), F.col("ch")))
-    per = per.withColumn("surv", F.exp(-F.col("ch")))
-    var = F.coalesce(F.sum("_green").over(w), F.lit(0.0))
+    tracks = {"ch": F.col("base"), "_var": F.col("_green")} | ({f"_slope{i}": F.col(f"_b{i}") for i in free} if covariance is not None else {})
+    per = running(per, "t", tracks, keys, before=[*tracks], previous={"h": "base"})
+    per = per.withColumns({"h": F.coalesce("h", F.lit(0.0)), "surv": F.exp(-F.col("ch"))})
+    var = F.col("_var")
     if covariance is not None and len(free):
-        slope = [F.coalesce(F.sum(f"_b{i}").over(w), F.lit(0.0)) for i in free]
+        slope = [F.col(f"_slope{i}") for i in free]
         for a in range(len(free)):
             for b in range(len(free)):
                 var = var + slope[a] * slope[b] * float(covariance[a, b])
@@ -63,28 +63,23 @@ def _closed(df: DataFrame, start: str, end: str, event: str, sums: dict[str, Col
     n = range(len(sums))
     up, down = F.col("_p.w") > 0, F.col("_p.w") < 0
     per = flat.groupBy(F.col("_p.t").alias("t")).agg(F.sum(F.when(up, F.col("_e")).otherwise(0)).alias("d"), *[F.sum(F.when(up, F.col(f"_s{i}")).otherwise(0.0)).alias(f"_u{i}") for i in n], *[F.sum(F.when(down, F.col(f"_s{i}")).otherwise(0.0)).alias(f"_d{i}") for i in n])
-    w = Window.orderBy(F.desc("t"))
-    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumns({k: F.sum(f"_u{i}").over(upto) - F.coalesce(F.sum(f"_d{i}").over(before), F.lit(0.0)) for i, k in enumerate(sums)})
-    return per.where("d > 0").select("t", "d", *sums)
+    per = running(per, "t", {f"{c}{i}": F.col(f"{c}{i}") for c in ("_u", "_d") for i in n}, descending=True, before=[f"_d{i}" for i in n])
+    return per.where("d > 0").select("t", "d", *[(F.col(f"_u{i}") - F.col(f"_d{i}")).alias(k) for i, k in enumerate(sums)])
 
 
 def kaplan_meier(df: DataFrame, subject: str, start: str, end: str, event: str) -> DataFrame:
     """t, d, n, n_t, n_se by subject: a subject's last end and event; at risk are subjects whose end exceeds the previous event time."""
     one = df.groupBy(subject).agg(F.max(F.col(end).cast("double")).alias("t"), F.max((F.col(event) == 1).cast("int")).alias("e"))
     per = one.groupBy("t").agg(F.sum("e").alias("d"), F.count("*").alias("m"))
-    total = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    per = per.withColumn("_left", F.sum("m").over(total))
+    per = running(per, "t", {"_left": F.col("m")}, descending=True)
     #: Subjects that left between two event times still count for the later one.
-    block = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_k", F.coalesce(F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).over(block), F.lit(0)))
-    per = per.withColumn("n", F.max("_left").over(Window.partitionBy("_k"))).where("d > 0")
-    w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    per = running(per, "t", {"_k": F.when(F.col("d") > 0, 1).otherwise(0)}, before=["_k"])
+    per = per.groupBy("_k").agg(F.max(F.when(F.col("d") > 0, F.col("t"))).alias("t"), F.max("d").alias("d"), F.max("_left").alias("n")).where("d > 0").drop("_k")
     log = F.when(F.col("d") < F.col("n"), F.ln(1 - F.col("d") / F.col("n"))).otherwise(0.0)
-    gone = F.max(F.when(F.col("d") >= F.col("n"), 1).otherwise(0)).over(w)
-    n_t = F.when(gone == 1, 0.0).otherwise(F.exp(F.sum(log).over(w)))
     green = F.coalesce(F.col("d") / F.col("n") / F.nullif(F.col("n") - F.col("d"), F.lit(0)), F.lit(0.0))
-    return per.select("t", "d", "n", n_t.alias("n_t"), F.sqrt(F.sum(green).over(w)).alias("_g")).select("t", "d", "n", "n_t", (F.col("_g") * F.col("n_t")).alias("n_se"))
+    per = running(per, "t", {"_log": log, "_gone": F.when(F.col("d") >= F.col("n"), 1).otherwise(0), "_g": green})
+    n_t = F.when(F.col("_gone") > 0, 0.0).otherwise(F.exp("_log"))
+    return per.select("t", "d", "n", n_t.alias("n_t"), (F.sqrt("_g") * n_t).alias("n_se"))
 
 
 def _curve(times: np.ndarray, ch: np.ndarray) -> tuple[list, list, list, float, float]:

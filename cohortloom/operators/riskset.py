@@ -1,7 +1,7 @@
 """Risk sets as differences of cumulative sums, without a range join.
 
 For a summand v: S(t) = sum of v with end >= t, less the sum with start >= t. Two partial aggregations by
-(stratum, time) and one window over distinct times replace the join of rows and event times. Rows of no
+(stratum, time) and sums that run over distinct times replace the join of rows and event times. Rows of no
 length (start = end) are at risk at their own time without strata, at all times up to it with strata.
 
 Competing-risk weights min(w / w_t, 1) make it a sum over rows with w < w_t and one over the others: sums over
@@ -14,9 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 
 def risk_sums(df: DataFrame, start: str, end: str, event: str, sums: Mapping[str, Column], at_events: Mapping[str, Column] | None = None, strata: Sequence[str] = ()) -> DataFrame:
     """(strata, t, d, sums over the risk set, at_events over the events) for each event time t."""
@@ -37,9 +39,8 @@ def risk_sums(df: DataFrame, start: str, end: str, event: str, sums: Mapping[str
         *[F.sum(F.when(one, level * F.col(f"_s{i}")).otherwise(0.0)).alias(f"_z{i}") for i in range(len(n))],
         *[F.sum(F.when(one & F.col("_e"), F.col(f"_x{i}")).otherwise(0.0)).alias(f"_y{i}") for i in range(len(at_events))],
     )
-    w = Window.partitionBy(*keys).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    per = per.withColumns({f"_S{i}": F.sum(f"_c{i}").over(w) + F.col(f"_z{i}") for i in range(len(n))})
-    return per.where("d > 0").select(*keys, "t", "d", *[F.col(f"_S{i}").alias(k) for i, k in enumerate(n)], *[F.col(f"_y{i}").alias(k) for i, k in enumerate(at_events)])
+    per = running(per, "t", {f"_S{i}": F.col(f"_c{i}") for i in range(len(n))}, keys, descending=True)
+    return per.where("d > 0").select(*keys, "t", "d", *[(F.col(f"_S{i}") + F.col(f"_z{i}")).alias(k) for i, k in enumerate(n)], *[F.col(f"_y{i}").alias(k) for i, k in enumerate(at_events)])
 
 
 def competing_sums(df: DataFrame, start: str, end: str, event: str, sums: Mapping[str, Column], weight: Column, at_events: Mapping[str, Column] | None = None, strata: Sequence[str] = ()) -> DataFrame:
@@ -57,7 +58,8 @@ def competing_sums(df: DataFrame, start: str, end: str, event: str, sums: Mappin
     after = F.struct(F.col("_a").alias("t"), F.lit(-1.0).alias("w"))
     flat = rows.select("*", F.explode(F.when(F.col("_a") == F.col("_b"), F.array(upto)).otherwise(F.array(upto, after))).alias("_p"))
     cells = flat.groupBy(*keys, F.col("_p.t").alias("t"), "_w").agg(*[F.sum(F.col("_p.w") * F.col(f"_s{i}")).alias(f"_v{i}") for i in k])
-    ranks = rows.select("_w").distinct().select("_w", (F.row_number().over(Window.orderBy("_w")) - 1).alias("_r"), F.count("*").over(Window.orderBy(F.lit(0))).alias("_n"))
+    weights = rows.select("_w").where("_w is not null").distinct()
+    ranks = running(weights, "_w", {"_r": F.lit(1)}).withColumn("_r", (F.col("_r") - 1).cast("int")).crossJoin(F.broadcast(weights.agg(F.count("*").alias("_n"))))
     #: Level -1 holds everything; a node of level l holds 2^l ranks.
     level = lambda bit: F.expr(f"concat(array(-1), filter(sequence(0, cast(log2(_n) as int)), l -> shiftright(_r, l) % 2 = {bit}))")
     node = lambda less: F.expr(f"if(_l < 0, 0, shiftright(_r, greatest(_l, 0)) - {less})")
@@ -66,8 +68,7 @@ def competing_sums(df: DataFrame, start: str, end: str, event: str, sums: Mappin
     ask = times.select(*keys, "t", "_wt").join(ranks, F.col("_wt") == F.col("_w")).select(*keys, "t", "_wt", "_r", "_n", F.explode(level(1)).alias("_l")).withColumn("_node", node(1))
     none = [F.lit(0.0).alias(f"_{c}{i}") for c in "vu" for i in k]
     both = put.withColumns({"_q": F.lit(0), "_wt": F.lit(None).cast("double")}).unionByName(ask.select(*keys, "_l", "_node", "t", *none, F.lit(1).alias("_q"), "_wt"))
-    w = Window.partitionBy(*keys, "_l", "_node").orderBy(F.desc("t"), "_q").rowsBetween(Window.unboundedPreceding, 0)
-    read = both.withColumns({f"_{c}{i}": F.sum(f"_{c}{i}").over(w) for c in "vu" for i in k}).where("_q = 1")
+    read = running(both, "t", {f"_{c}{i}": F.col(f"_{c}{i}") for c in "vu" for i in k}, [*keys, "_l", "_node"], descending=True, then=["_q"]).where("_q = 1")
     part = lambda i: F.when(F.col("_l") < 0, F.col(f"_v{i}")).otherwise(F.col(f"_u{i}") / F.col("_wt") - F.col(f"_v{i}"))
     total = read.groupBy(*keys, "t").agg(*[F.sum(part(i)).alias(n) for i, n in enumerate(sums)])
     return times.join(total, [*keys, "t"]).select(*keys, "t", "d", *sums, *[F.col(f"_y{i}").alias(n) for i, n in enumerate(at_events)])

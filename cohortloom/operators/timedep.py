@@ -8,6 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 #: A list of event times up to this size is a literal array (it is one column of the plan); longer ones are joined by range.
 MOST_TIMES = 20_000
 
@@ -44,9 +46,7 @@ def at_event_times(df: DataFrame, start: str, end: str, event: str, names: Seque
         hit = F.filter(F.array(*[F.lit(t) for t in ordered]), lambda t: (t >= F.col(start)) & (t <= F.col(end)))
         out = df.select("*", F.explode(hit).alias("_t"))
     else:
-        from pyspark.sql import Window
-
-        gap = times.select((F.col("_t") - F.lag("_t").over(Window.orderBy("_t"))).alias("g")).agg(F.min("g")).first()[0]
+        gap = running(times, "_t", {"_r": F.lit(1)}, previous={"_before": "_t"}).agg(F.min(F.col("_t") - F.col("_before"))).first()[0]
         out = df.join(times, (F.col("_t") >= F.col(start)) & (F.col("_t") <= F.col(end)))
     width = F.col(end) - F.col(start)
     ratio = F.when(width == 0, F.lit(1.0)).otherwise((F.col("_t") - F.col(start)) / F.nullif(width, F.lit(0.0)))

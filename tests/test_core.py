@@ -266,3 +266,39 @@ def test_assignment_adds_up(spark):
     for r in post.event_assignment(df, m, "pyr", "e").collect():
         assert r.predict_bg + r.predict_excess == pytest.approx(r.predict_total)
         assert r.caused_total == pytest.approx(r.e)
+
+
+def test_running_sums_against_a_plain_walk(spark):
+    """Cells over signs, powers of two, zero and infinity; groups with a null key; both directions; the value before."""
+    import random
+
+    from cohortloom.operators.prefix import cell_of, running
+
+    rng = random.Random(5)
+    inf = float("inf")
+    times = sorted({0.0, inf, -inf, 8.0, 7.999999999999999, 2.0**-1074, -(2.0**40), 1e300, *[rng.uniform(-50, 50) for _ in range(60)], *[float(i) for i in range(-5, 40)]})
+    rows = [(k, t, rng.randrange(100)) for k in ("a", None) for t in times]
+    df = spark.createDataFrame(rows, "k string, t double, v int")
+    cells = [r.c for r in df.where("k = 'a'").orderBy("t").select(cell_of(F.col("t")).alias("c")).collect()]
+    assert cells == sorted(cells) and len(set(cells)) > 80
+    for down in (False, True):
+        got = {(r.k, r.t): r for r in running(df, "t", {"s": F.col("v"), "b": F.col("v")}, ["k"], down, before=["b"], previous={"p": "v"}).collect()}
+        for key in ("a", None):
+            total, last = 0, None
+            for _, t, v in sorted((r for r in rows if r[0] == key), key=lambda r: -r[1] if down else r[1]):
+                r = got[key, t]
+                assert (r.s, r.b, r.p) == (total + v, total, last)
+                total, last = total + v, v
+    assert running(df.where("false"), "t", {"s": F.col("v")}).count() == 0
+
+
+def test_running_sums_read_their_input_once(spark):
+    """Both uses of the input read one exchange, and no window but that over the totals of cells is in one task."""
+    from cohortloom.operators.riskset import risk_sums
+
+    df = spark.range(3000).selectExpr("cast(id % 7 as double) a", "cast(id % 7 + id % 900 as double) b", "cast(id % 3 as int) e", "cast(id as double) x")
+    out = risk_sums(df, "a", "b", "e", {"S": F.col("x")}, {"X": F.col("x")})
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Generate explode") == 1 and "ReusedExchange" in plan
+    assert plan.count("SinglePartition") == 1
