@@ -3,26 +3,29 @@
 Overlapping heuristic labellers fire or abstain on each document. Expectation-maximisation over the
 counts of vote patterns (at most 2^11 rows, whatever the corpus) estimates how often each
 labeller fires in either class, and the class prior; posteriors of the patterns are the labels
-of a hashed linear scorer, trained on a bounded sample of documents (`fit_rows`) and applied to all.
-True labels are never read.
+of a hashed linear scorer over word shapes, their pairs, repetition and words, trained on a bounded sample of
+documents (about `fit_rows`, twice that at most where rows repeat, of at most WIDTH entries each) and applied to all. True labels are never read.
 
 Defined results: on a text of fewer than five words all abstain; null and empty texts are scored by their
-features like any other; repeated rows are scored alike; an empty table gives an empty result; other columns
+features like any other; a null doc_id stays null; repeated rows are scored alike; an empty table gives an empty result; other columns
 are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, slices
 
-FIT_ROWS, WIDTH = 20_000, 1 << 12
+FIT_ROWS, WIDTH = 6_000, 1 << 14
 _UPPER, _LETTER, _DIGIT, _MARK = (np.zeros(256, np.int64) for _ in range(4))
 _UPPER[65:91] = 1
 _LETTER[[*range(65, 91), *range(97, 123)]] = 1
@@ -31,7 +34,7 @@ _MARK[[ord(c) for c in "#$%&*@^~<>{}[]\\|_=+!"]] = 1
 
 
 def measures(text: str) -> dict[str, float]:
-    """What the labellers and the scorer look at: rates over the whole text."""
+    """What the labellers look at: rates over the whole text."""
     raw = text.encode("utf-8", "surrogatepass")
     h = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     words = text.split()
@@ -73,13 +76,47 @@ def votes(m: dict[str, float]) -> list[int]:
     return [*out, int(all(m[k] <= v for k, v in PLAIN.items()))]
 
 
-def hashed(m: dict[str, float], text: str) -> np.ndarray:
-    """Indices of the active hashed features: graded measures, and the shapes of the words."""
-    out = {f"{k}:{int(np.floor(4 * np.log2(1e-3 + v)))}" for k, v in m.items() if k != "words"}
+_RUN = re.compile(r"([^ \n])\1+")
+
+
+class _Classes(dict):
+    """Code point -> class: A and a for letters, 0 for digits, white space kept, * for every other character."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = "\n" if c == "\n" else " " if c.isspace() else "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else "*"
+        return out
+
+
+_CLASSES = _Classes()
+
+
+def _grade(kind: str, n: int, of: int) -> str:
+    """A feature's name with its share of `of` in half octaves."""
+    return f"{kind}:{int(np.floor(2 * np.log2(n / of)))}"
+
+
+def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and values of the hashed features, none of them a labeller's measure.
+
+    Single shapes of words and pairs of neighbouring ones (runs of capitals, small letters, digits and marks, one
+    character each) and how often each word and line comes back, all graded by their share; lower-cased words by presence.
+    """
     words = text.split()
-    shapes = {("A" if w[:1].isupper() else "a" if w[:1].isalpha() else "0") + ("!" if w[-1:] and not w[-1:].isalnum() else "") + ("X" if w.isupper() and len(w) > 2 else "") for w in words}
-    out |= {f"shape:{s}" for s in shapes}
-    return np.unique(np.array([zlib.crc32(x.encode()) % WIDTH for x in out], np.int64))
+    shapes = _RUN.sub(r"\1", text.translate(_CLASSES)).split()
+    grams = Counter(shapes)
+    grams.update(zip(shapes, shapes[1:]))  # noqa: B905
+    grams.update(("=",) for a, b in zip(words, words[1:]) if a == b)  # noqa: B905
+    out = {_grade(f"s{g}", n, len(shapes)) for g, n in grams.items() if n * 200 >= len(shapes)}
+    lines = text.split("\n")
+    for kind, items in (("w", words), ("l", lines)):
+        again = Counter(Counter(items).values())
+        out |= {_grade(f"{kind}{int(np.log2(n))}", n * k, len(items)) for n, k in again.items() if n * k * 20 >= len(items)}
+    kinds = {w.lower() for w in words}
+    at = [zlib.crc32(x.encode()) % WIDTH for x in out] + [zlib.crc32(w.encode("utf-8", "surrogatepass")) % WIDTH for w in kinds]
+    value = np.concatenate([np.ones(len(out)), np.full(len(kinds), 1 / max(1, len(kinds)))])
+    at, where = np.unique(np.array(at, np.int32), return_inverse=True)
+    return at, np.bincount(where, value, len(at)).astype(np.float32)
 
 
 def accuracies(patterns: np.ndarray, n: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
@@ -110,7 +147,7 @@ def _posterior(patterns: np.ndarray, prior: float, fire: np.ndarray) -> np.ndarr
 
 
 def _voted(batches):
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for text in batch.column("text").to_pylist():
             out.append("".join(map(str, votes(measures(text or "")))))
@@ -127,34 +164,34 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float, d
     patterns = np.array([[int(c) for c in r.pattern] for r in rows])
     prior, table, post = accuracies(patterns, np.array([r["count"] for r in rows], float))
     target = {r.pattern: float(p) for r, p in zip(rows, post, strict=True)}
-    sample = docs if n <= fit_rows else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
+    sample = docs if n <= fit_rows else docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
 
     def features(batches):
-        for batch in batches:
-            at, y = [], []
+        for batch in slices(batches):
+            at, value, y = [], [], []
             for text in batch.column("text").to_pylist():
-                m = measures(text or "")
-                at.append(hashed(m, text or ""))
-                y.append(target.get("".join(map(str, votes(m))), prior))
-            yield pa.record_batch([pa.array(at, pa.list_(pa.int64())), pa.array(y, pa.float64())], names=["at", "y"])
-
-    got = sample.select("text").mapInArrow(features, "at array<long>, y double").toArrow()
-    at = [np.array(x, np.int64) for x in got.column("at").to_pylist()]
-    w, bias = _linear(at, got.column("y").to_numpy())
+                i, v = hashed(text or "")
+                at.append(i)
+                value.append(v)
+                y.append(target.get("".join(map(str, votes(measures(text or "")))), prior))
+            yield pa.record_batch([pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32())), pa.array(y, pa.float64())], names=["at", "value", "y"])
+
+    got = sample.select("text").mapInArrow(features, "at array<int>, value array<float>, y double").limit(2 * fit_rows).toArrow().combine_chunks()
+    sizes = pc.list_value_length(got.column("at")).to_numpy()
+    w, bias = _linear(sizes, pc.list_flatten(got.column("at")).to_numpy(), pc.list_flatten(got.column("value")).to_numpy(), got.column("y").to_numpy())
     return w, bias, {"prior": prior, **{name: (float(table[j, 0]), float(table[j, 1])) for j, name in enumerate(NAMES)}}
 
 
-def _linear(at: list[np.ndarray], y: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on the soft labels, full-batch Adam with a ridge."""
-    if not at:
+def _linear(sizes: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression on the soft labels, full-batch Adam with a ridge; rows one after another, `sizes` entries each."""
+    if not len(sizes):
         return np.zeros(WIDTH), 0.0
-    row = np.repeat(np.arange(len(at)), [len(a) for a in at])
-    col = np.concatenate(at)
+    row, k = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
     w, m, v = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, w[col], len(at)) + w[-1]
+        z = np.bincount(row, w[col] * value, k) + w[-1]
         e = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        g = np.append(np.bincount(col, e[row], WIDTH), e.sum()) / len(at)
+        g = np.append(np.bincount(col, e[row] * value, WIDTH), e.sum()) / k
         g[:-1] += 1e-5 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -168,8 +205,8 @@ def predict(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
 
     def run(batches):
         w, b = model.value
-        for batch in batches:
-            z = np.array([b + w[hashed(measures(t or ""), t or "")].sum() for t in batch.column("text").to_pylist()])
+        for batch in slices(batches):
+            z = np.array([b + w[at] @ value for at, value in (hashed(t or "") for t in batch.column("text").to_pylist())])
             s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.record_batch([batch.column("doc_id"), pa.array(s, pa.float64()), pa.array(s >= 0.5, pa.bool_())], names=["doc_id", "score", "kept"])
 
