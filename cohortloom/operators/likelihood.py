@@ -156,28 +156,65 @@ def cox_null(df: DataFrame, start: str, end: str, event: str, strata: Sequence[s
     return cox(df, Model((), null=True), start, end, event, strata, ties, 0).value
 
 
-def _symmetric(r: np.ndarray, g: np.ndarray, h: np.ndarray, m: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """ln of the m-th elementary symmetric polynomial of r with derivatives: B(m, n) = B(m, n - 1) + r_n B(m - 1, n - 1)."""
-    p = g.shape[1]
+#: Sums of products of k risks, for k up to a bound, with first and second derivatives; risks are divided by `scale`, their sum, so no entry exceeds 1 / k!.
+_Products = tuple[float, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _products(r: np.ndarray, g: np.ndarray, h: np.ndarray, most: int) -> _Products:
+    """Elementary symmetric polynomials of r up to min(most, rows): B(m, n) = B(m, n - 1) + r_n B(m - 1, n - 1)."""
+    p, m = g.shape[1], min(most, len(r))
     b, bg, bh = np.zeros(m + 1), np.zeros((m + 1, p)), np.zeros((m + 1, p, p))
     b[0] = 1.0
-    scale = r.mean() or 1.0
-    r, g, h = r / scale, g / scale, h / scale
-    for x, dx, ddx in zip(r, g, h, strict=True):
-        for k in range(m, 0, -1):
-            cross = np.outer(dx, bg[k - 1])
-            bh[k] += x * bh[k - 1] + cross + cross.T + ddx * b[k - 1]
-            bg[k] += x * bg[k - 1] + dx * b[k - 1]
-            b[k] += x * b[k - 1]
+    scale = float(r.sum()) or 1.0
+    for x, dx, ddx in zip(r / scale, g / scale, h / scale, strict=True):
+        cross = bg[:-1, :, None] * dx
+        bh[1:] += x * bh[:-1] + cross + cross.transpose(0, 2, 1) + b[:-1, None, None] * ddx
+        bg[1:] += x * bg[:-1] + b[:-1, None] * dx
+        b[1:] += x * b[:-1]
+    return scale, b, bg, bh
+
+
+def _merged(one: _Products, two: _Products, most: int) -> _Products:
+    """The products over the rows of both."""
+    scale, p = one[0] + two[0], one[2].shape[1]
+    m = min(most, len(one[1]) + len(two[1]) - 2)
+    b, bg, bh = np.zeros(m + 1), np.zeros((m + 1, p)), np.zeros((m + 1, p, p))
+    (x, xg, xh), (y, yg, yh) = [[c * ((s / scale) ** np.arange(len(c))).reshape(-1, *[1] * (c.ndim - 1)) for c in rest] for s, *rest in (one, two)]
+    for i in range(min(len(x), m + 1)):
+        k = min(len(y), m + 1 - i)
+        at = slice(i, i + k)
+        cross = yg[:k, :, None] * xg[i]
+        bh[at] += x[i] * yh[:k] + y[:k, None, None] * xh[i] + cross + cross.transpose(0, 2, 1)
+        bg[at] += x[i] * yg[:k] + y[:k, None] * xg[i]
+        b[at] += x[i] * y[:k]
+    return scale, b, bg, bh
+
+
+def _log_product(got: _Products, m: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """ln B(m, n) with derivatives."""
+    scale, b, bg, bh = got
     lg = bg[m] / b[m]
     return float(np.log(b[m]) + m * np.log(scale)), lg, bh[m] / b[m] - np.outer(lg, lg)
 
 
-def case_control(df: DataFrame, model: Model, event: str, sets: Sequence[str], threshold: int = 50, odds: DataFrame | None = None, expected: bool = False) -> Point:
+def _cases(r: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The sum of ln r over cases with derivatives."""
+    rel = g / r[:, None]
+    return float(np.log(r).sum()), rel.sum(0), (h / r[:, None, None]).sum(0) - rel.T @ rel
+
+
+#: Sets of more rows are worked on in parts, one for each partition of the input.
+PART_ROWS = 20_000
+#: Parts are first merged in so many groups.
+PART_GROUPS = 512
+
+
+def case_control(df: DataFrame, model: Model, event: str, sets: Sequence[str], threshold: int = 50, odds: DataFrame | None = None, expected: bool = False, part_rows: int = PART_ROWS) -> Point:
     """Conditional likelihood of matched sets: sum of ln r over cases less ln B(m, n).
 
     A set of more than `threshold` cases has its own log odds, which is profiled out by Newton steps within the set
-    (the unconditional form; its expected information holds the log odds, as the reference does). Sets are groups of a shuffle on the set's key; each set must fit in one task.
+    (the unconditional form; its expected information holds the log odds, as the reference does). A set of more than `part_rows`
+rows is worked on where its rows lie: the products of its parts are merged. Only one of more than `threshold` cases must fit in one task.
     """
     r, free = risk(model), model.free
     r = _expected(r, free) if expected else r
@@ -189,22 +226,21 @@ def case_control(df: DataFrame, model: Model, event: str, sets: Sequence[str], t
     if not keys:
         rows, keys = rows.withColumn("_all", F.lit(1)), ["_all"]
 
-    def one(x: pd.DataFrame) -> pd.DataFrame:
-        risk_, g = x["r"].to_numpy(), x[[f"g{i}" for i in free]].to_numpy().reshape(len(x), p)
+    def arrays(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         h = np.zeros((len(x), p, p))
         for i, j in pairs:
             a, b = free.index(i), free.index(j)
             h[:, a, b] = h[:, b, a] = x[f"h{i}_{j}"]
-        case = x["case"].to_numpy() == 1
+        return x["r"].to_numpy(), x[[f"g{i}" for i in free]].to_numpy().reshape(len(x), p), h, x["case"].to_numpy() == 1
+
+    def one(x: pd.DataFrame) -> pd.DataFrame:
+        risk_, g, h, case = arrays(x)
         m, out = int(case.sum()), [0.0] * (2 + p + len(pairs))
         out[1] = float(risk_.min())
         if 0 < m and out[1] > 0:
-            lr = np.log(risk_[case]).sum()
-            dg = (g[case] / risk_[case, None]).sum(0)
-            rel = g[case] / risk_[case, None]
-            dh = (h[case] / risk_[case, None, None]).sum(0) - rel.T @ rel
+            lr, dg, dh = _cases(risk_[case], g[case], h[case])
             if m <= threshold:
-                v, vg, vh = _symmetric(risk_, g, h, m)
+                v, vg, vh = _log_product(_products(risk_, g, h, m), m)
                 value, grad, hess = lr - v, dg - vg, dh - vh
             elif m == len(x):
                 value, grad, hess = 0.0, np.zeros(p), np.zeros((p, p))
@@ -230,11 +266,68 @@ def case_control(df: DataFrame, model: Model, event: str, sets: Sequence[str], t
 
     names = ["v", "low", *[f"g{i}" for i in free], *[f"h{i}_{j}" for i, j in pairs]]
     ship(df.sparkSession)
-    per = rows.groupBy(*keys).applyInPandas(one, ", ".join(f"{n} double" for n in names))
+    types = ", ".join(f"{n} double" for n in names)
+    size = [F.count("*").alias("_n"), F.sum("case").alias("_m")]
+    large = rows.groupBy(*keys).agg(*size).where((F.col("_n") > part_rows) & F.col("_m").between(1, threshold)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_m")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    if large.limit(1).count():
+        per = rows.join(large, same, "left_anti").groupBy(*keys).applyInPandas(one, types).union(_in_parts(rows.withColumn("_part", F.spark_partition_id()).join(large, same), keys, arrays, free, pairs, types))
+    else:
+        per = rows.groupBy(*keys).applyInPandas(one, types)
     total = Jet(F.col("v"), {i: F.col(f"g{i}") for i in free}, {k: F.col(f"h{k[0]}_{k[1]}") for k in pairs})
     return _gather(per, total, free, F.col("low"), 2)
 
 
+def _in_parts(rows: DataFrame, keys: list[str], arrays, free: Sequence[int], pairs: Sequence[tuple[int, int]], types: str) -> DataFrame:
+    """The results of sets whose rows are dealt by `_part`; a part is a state of at most `_m` + 1 products, and states merge in two steps."""
+    p = len(free)
+    state = "scale double, b array<double>, bg array<double>, bh array<double>, lr double, dg array<double>, dh array<double>, low double"
+
+    def row(got: _Products, own: tuple[float, np.ndarray, np.ndarray], low: float) -> list:
+        return [got[0], *[c.ravel().tolist() for c in got[1:]], own[0], own[1].tolist(), own[2].ravel().tolist(), low]
+
+    def read(x) -> tuple[_Products, tuple, float]:
+        n = len(x.b)
+        return (x.scale, np.array(x.b), np.array(x.bg).reshape(n, p), np.array(x.bh).reshape(n, p, p)), (x.lr, np.array(x.dg).reshape(p), np.array(x.dh).reshape(p, p)), x.low
+
+    names = [c.split()[0] for c in state.split(", ")]
+
+    def start(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        r, g, h, case = arrays(x)
+        low = float(r.min())
+        own = _cases(r[case], g[case], h[case]) if low > 0 else (0.0, np.zeros(p), np.zeros((p, p)))
+        return pd.DataFrame([[*key, *row(_products(np.abs(r), g, h, int(key[-1])), own, low)]], columns=[*keys, "_part", "_m", *names])
+
+    def together(x: pd.DataFrame, m: int):
+        got, own, low = None, (0.0, np.zeros(p), np.zeros((p, p))), np.inf
+        for y in x.itertuples():
+            one, mine, least = read(y)
+            got = one if got is None else _merged(got, one, m)
+            own, low = tuple(a + b for a, b in zip(own, mine, strict=True)), min(low, least)
+        return got, own, low
+
+    def merge(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key, *row(*together(x, int(key[-1])))]], columns=[*keys, "_part", "_m", *names])
+
+    def finish(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        m = int(key[-1])
+        got, (lr, dg, dh), low = together(x, m)
+        out = [0.0, low, *[0.0] * (p + len(pairs))]
+        if low > 0:
+            v, vg, vh = _log_product(got, m)
+            hess = dh - vh
+            out = [lr - v, low, *(dg - vg), *[hess[free.index(i), free.index(j)] for i, j in pairs]]
+        return pd.DataFrame([out], columns=[c.split()[0] for c in types.split(", ")])
+
+    kept = [f for f in rows.schema.fields if f.name in (*keys, "_part", "_m")]
+    head = ", ".join(f"`{n}` {next(f for f in kept if f.name == n).dataType.simpleString()}" for n in (*keys, "_part", "_m"))
+    parts = rows.groupBy(*keys, "_part", "_m").applyInPandas(start, f"{head}, {state}")
+    parts = parts.withColumn("_part", F.col("_part") % PART_GROUPS).groupBy(*keys, "_part", "_m").applyInPandas(merge, f"{head}, {state}")
+    return parts.groupBy(*keys, "_m").applyInPandas(finish, types)
+
+
 def matched_rows(df: DataFrame, start: str, end: str, event: str, strata: Sequence[str] = ()) -> DataFrame:
     """Rows of each event-time risk set (start < t <= end), one copy for each set, with `_t`: matched sets by time."""
     keys = list(strata)
