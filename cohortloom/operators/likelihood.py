@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dist import normal_cdf_col, normal_pdf_col
@@ -203,18 +203,128 @@ def _cases(r: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarr
     return float(np.log(r).sum()), rel.sum(0), (h / r[:, None, None]).sum(0) - rel.T @ rel
 
 
+def _tilt(r: np.ndarray, m: int) -> float:
+    """The log odds a at which risks times exp(a) expect m cases, 0 < m < rows."""
+    a = np.log(m / (len(r) - m))
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-a) / r)
+        step = (m - q.sum()) / max(1e-12, (q * (1 - q)).sum())
+        a += np.clip(step, -2, 2)
+        if abs(step) < 1e-12:
+            break
+    return a
+
+
+def _log_product_many(r: np.ndarray, g: np.ndarray, h: np.ndarray, m: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """ln B(m, n) with derivatives for any m, without products of m factors that leave the range of a double.
+
+    With odds c r, c such that m cases are expected, B(m, n) c^m / prod(1 + c r) is the chance of m cases: about 1 / sd,
+    whatever m. It is a Fourier sum of prod(1 + q (e^iw - 1)); frequencies are so many that the aliased chances,
+    12 sd and 40 cases away at least, are below exp(-70) by Bernstein's bound.
+    """
+    if m == len(r):
+        return _cases(r, g, h)
+    p, a = g.shape[1], _tilt(r, m)
+    q = 1 / (1 + np.exp(-a) / r)
+    k = min(len(r) + 1, int(12 * np.sqrt((q * (1 - q)).sum())) + 40) | 1
+    turn = np.exp(2j * np.pi * np.arange(k // 2 + 1) / k)
+    f, first, second = np.ones(len(turn), complex), np.zeros((p, len(turn)), complex), np.zeros((p * p, len(turn)), complex)
+    rows = max(1, (1 << 19) // len(turn))
+    for i in range(0, len(r), rows):
+        at = slice(i, i + rows)
+        one = 1 + q[at, None] * (turn - 1)
+        f *= one.prod(0)
+        w = (q[at] / r[at])[:, None] * turn / one
+        first += g[at].T @ w
+        second += h[at].reshape(-1, p * p).T @ w - (g[at][:, :, None] * g[at][:, None, :]).reshape(-1, p * p).T @ (w * w)
+    f *= np.where(np.arange(len(turn)) > 0, 2, 1) / k * turn ** -m
+    chance = f.sum().real
+    lg = (first @ f).real / chance
+    both = (((first[:, None] * first[None]).reshape(p * p, -1) + second) @ f).real.reshape(p, p) / chance
+    return float(np.log(chance) + np.logaddexp(0, a + np.log(r)).sum() - m * a), lg, both - np.outer(lg, lg)
+
+
+def _unconditional(r: np.ndarray, g: np.ndarray, h: np.ndarray, m: int, expected: bool) -> tuple[float, np.ndarray, np.ndarray]:
+    """What stands for ln B(m, n) where the set's log odds is profiled out."""
+    if m == len(r):
+        return _cases(r, g, h)
+    a = _tilt(r, m)
+    z = np.exp(a) * r
+    q = z / (1 + z)
+    u = g / r[:, None]
+    w = q * (1 - q)
+    full = (q[:, None, None] * h / r[:, None, None]).sum(0) - ((q - w)[:, None] * u).T @ u
+    cross = -(w[:, None] * u).sum(0)
+    return float(np.log1p(z).sum() - a * m), (q[:, None] * u).sum(0), full if expected else full - np.outer(cross, cross) / w.sum()
+
+
+def _log_products(r: np.ndarray, g: np.ndarray, h: np.ndarray, starts: np.ndarray, sizes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ln B(m, n) with derivatives of many sets of m cases at once: the steps of `_products`, each for all sets that have such a row."""
+    p, turn = g.shape[1], np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[turn], sizes[turn]
+    scale = np.array([r[a : a + n].sum() for a, n in zip(starts, sizes, strict=True)])
+    b, bg, bh = np.zeros((len(turn), m + 1)), np.zeros((len(turn), m + 1, p)), np.zeros((len(turn), m + 1, p, p))
+    b[:, 0] = 1.0
+    for j in range(sizes[0]):
+        k = int(np.searchsorted(-sizes, -j, side="left"))
+        at, by = starts[:k] + j, scale[:k]
+        x, dx, ddx = (r[at] / by)[:, None], (g[at] / by[:, None])[:, None], (h[at] / by[:, None, None])[:, None]
+        cross = bg[:k, :-1, :, None] * dx[:, :, None]
+        bh[:k, 1:] += x[..., None, None] * bh[:k, :-1] + cross + cross.transpose(0, 1, 3, 2) + b[:k, :-1, None, None] * ddx
+        bg[:k, 1:] += x[..., None] * bg[:k, :-1] + b[:k, :-1, None] * dx
+        b[:k, 1:] += x * b[:k, :-1]
+    back, top = np.argsort(turn), b[:, m]
+    lg = bg[:, m] / top[:, None]
+    return (np.log(top) + m * np.log(scale))[back], lg[back], (bh[:, m] / top[:, None, None] - lg[:, :, None] * lg[:, None])[back]
+
+
+def _sets(r: np.ndarray, g: np.ndarray, h: np.ndarray, case: np.ndarray, starts: np.ndarray, threshold: int | None, expected: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Value, least risk, gradient and Hessian of each set; the rows of a set are adjacent, from one of `starts` on."""
+    p, sizes = g.shape[1], np.diff(np.append(starts, len(r)))
+    cases, low = np.add.reduceat(case.astype(int), starts), np.minimum.reduceat(r, starts)
+    value, grad, hess = np.zeros(len(starts)), np.zeros((len(starts), p)), np.zeros((len(starts), p, p))
+    good = (cases > 0) & (low > 0)
+    safe = np.where(r > 0, r, 1.0)
+    rel = g / safe[:, None]
+    own = [np.where(case, np.log(safe), 0.0), case[:, None] * rel, case[:, None, None] * (h / safe[:, None, None] - rel[:, :, None] * rel[:, None])]
+    for out, x in zip((value, grad, hess), own, strict=True):
+        if x.size:
+            out[good] = np.add.reduceat(x, starts, axis=0)[good]
+    most = PRODUCTS if threshold is None else min(threshold, PRODUCTS)
+    for m in np.unique(cases[good]):
+        chosen = np.flatnonzero(good & (cases == m))
+        if m <= most:
+            v, vg, vh = _log_products(r, g, h, starts[chosen], sizes[chosen], int(m))
+        else:
+            got = []
+            for i in chosen:
+                at = slice(starts[i], starts[i] + sizes[i])
+                got.append(_log_product_many(r[at], g[at], h[at], int(m)) if threshold is None or m <= threshold else _unconditional(r[at], g[at], h[at], int(m), expected))
+            v, vg, vh = (np.array(x) for x in zip(*got, strict=True))
+        value[chosen] -= v
+        grad[chosen] -= vg
+        hess[chosen] -= vh
+    return value, low, grad, hess
+
+
+#: Products are formed of so many risks at most: beyond, they may leave the range of a double.
+PRODUCTS = 100
 #: Sets of more rows are worked on in parts, one for each partition of the input.
 PART_ROWS = 20_000
 #: Parts are first merged in so many groups.
 PART_GROUPS = 512
+#: Small sets are worked on together, so many rows at a time (fewer if there are many parameters).
+CHUNK_ROWS = 16_384
 
 
-def case_control(df: DataFrame, model: Model, event: str, sets: Sequence[str], threshold: int = 50, odds: DataFrame | None = None, expected: bool = False, part_rows: int = PART_ROWS) -> Point:
+def case_control(df: DataFrame, model: Model, event: str, sets: Sequence[str], threshold: int | None = 50, odds: DataFrame | None = None, expected: bool = False, part_rows: int = PART_ROWS) -> Point:
     """Conditional likelihood of matched sets: sum of ln r over cases less ln B(m, n).
 
     A set of more than `threshold` cases has its own log odds, which is profiled out by Newton steps within the set
-    (the unconditional form; its expected information holds the log odds, as the reference does). A set of more than `part_rows`
-rows is worked on where its rows lie: the products of its parts are merged. Only one of more than `threshold` cases must fit in one task.
+    (the unconditional form; its expected information holds the log odds, as the reference does); threshold None
+    takes the conditional form for all. A set of more than `part_rows` rows is worked on where its rows lie: the products
+    of its parts are merged. Only one of more than `threshold` or `PRODUCTS` cases must fit in one task. Other
+    sets stream through sorted by their keys, many in one step of arrays.
     """
     r, free = risk(model), model.free
     r = _expected(r, free) if expected else r
@@ -226,56 +336,64 @@ rows is worked on where its rows lie: the products of its parts are merged. Only
     if not keys:
         rows, keys = rows.withColumn("_all", F.lit(1)), ["_all"]
 
-    def arrays(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        h = np.zeros((len(x), p, p))
+    def arrays(x) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """From a pandas frame or a dict of arrays."""
+        h = np.zeros((len(x["r"]), p, p))
         for i, j in pairs:
             a, b = free.index(i), free.index(j)
             h[:, a, b] = h[:, b, a] = x[f"h{i}_{j}"]
-        return x["r"].to_numpy(), x[[f"g{i}" for i in free]].to_numpy().reshape(len(x), p), h, x["case"].to_numpy() == 1
-
-    def one(x: pd.DataFrame) -> pd.DataFrame:
-        risk_, g, h, case = arrays(x)
-        m, out = int(case.sum()), [0.0] * (2 + p + len(pairs))
-        out[1] = float(risk_.min())
-        if 0 < m and out[1] > 0:
-            lr, dg, dh = _cases(risk_[case], g[case], h[case])
-            if m <= threshold:
-                v, vg, vh = _log_product(_products(risk_, g, h, m), m)
-                value, grad, hess = lr - v, dg - vg, dh - vh
-            elif m == len(x):
-                value, grad, hess = 0.0, np.zeros(p), np.zeros((p, p))
+        return np.asarray(x["r"], float), np.array([np.asarray(x[f"g{i}"], float) for i in free]).reshape(p, len(h)).T, h, np.asarray(x["case"]) == 1
+
+    def stream(batches):
+        import pyarrow as pa
+
+        limit = min(CHUNK_ROWS, max(256, (1 << 19) // (1 + p + p * p)))
+        kept: list[dict[str, np.ndarray]] = []
+        held = 0
+
+        def results(x: dict[str, np.ndarray]):
+            value, low, grad, hess = _sets(*arrays(x), np.flatnonzero(x["_first"]), threshold, expected)
+            out = [value, low, *grad.T, *[hess[:, free.index(i), free.index(j)] for i, j in pairs]]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out], names)
+
+        def joined() -> dict[str, np.ndarray]:
+            return {c: np.concatenate([k[c] for k in kept]) for c in kept[0]}
+
+        for batch in batches:
+            x = {c: v.to_numpy(zero_copy_only=False) for c, v in zip(batch.schema.names, batch.columns, strict=True)}
+            if not len(x["r"]):
+                continue
+            begins = np.flatnonzero(x["_first"])
+            #: What lies before the last beginning is whole.
+            if len(begins) and held + begins[-1] >= limit:
+                kept.append({c: v[: begins[-1]] for c, v in x.items()})
+                yield results(joined())
+                kept, held = [{c: v[begins[-1] :] for c, v in x.items()}], len(x["r"]) - begins[-1]
             else:
-                a = np.log(m / (len(x) - m))
-                for _ in range(50):
-                    q = 1 / (1 + np.exp(-a) / risk_)
-                    step = (m - q.sum()) / max(1e-12, (q * (1 - q)).sum())
-                    a += np.clip(step, -2, 2)
-                    if abs(step) < 1e-12:
-                        break
-                z = np.exp(a) * risk_
-                q = z / (1 + z)
-                u = g / risk_[:, None]
-                value = a * m + lr - np.log1p(z).sum()
-                grad = dg - (q[:, None] * u).sum(0)
-                w = q * (1 - q)
-                full = dh - (q[:, None, None] * h / risk_[:, None, None]).sum(0) + ((q - w)[:, None] * u).T @ u
-                cross = -(w[:, None] * u).sum(0)
-                hess = full if expected else full + np.outer(cross, cross) / w.sum()
-            out = [value, out[1], *grad, *[hess[free.index(i), free.index(j)] for i, j in pairs]]
-        return pd.DataFrame([out], columns=names)
+                kept.append(x)
+                held += len(x["r"])
+        if held:
+            yield results(joined())
 
     names = ["v", "low", *[f"g{i}" for i in free], *[f"h{i}_{j}" for i, j in pairs]]
     ship(df.sparkSession)
     types = ", ".join(f"{n} double" for n in names)
     size = [F.count("*").alias("_n"), F.sum("case").alias("_m")]
-    large = rows.groupBy(*keys).agg(*size).where((F.col("_n") > part_rows) & F.col("_m").between(1, threshold)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_m")
+    most = PRODUCTS if threshold is None else min(threshold, PRODUCTS)
+    large = rows.groupBy(*keys).agg(*size).where((F.col("_n") > part_rows) & F.col("_m").between(1, most)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_m")
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+
+    def streamed(some: DataFrame) -> DataFrame:
+        #: Brings the rows of each set together, in order, and marks where one begins.
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))) == 1
+        return some.withColumn("_first", first).select("_first", "case", "r", *names[2:]).mapInArrow(stream, types)
+
     if large.limit(1).count():
-        per = rows.join(large, same, "left_anti").groupBy(*keys).applyInPandas(one, types).union(_in_parts(rows.withColumn("_part", F.spark_partition_id()).join(large, same), keys, arrays, free, pairs, types))
+        per = streamed(rows.join(large, same, "left_anti")).union(_in_parts(rows.withColumn("_part", F.spark_partition_id()).join(large, same), keys, arrays, free, pairs, types))
     else:
-        per = rows.groupBy(*keys).applyInPandas(one, types)
+        per = streamed(rows)
     total = Jet(F.col("v"), {i: F.col(f"g{i}") for i in free}, {k: F.col(f"h{k[0]}_{k[1]}") for k in pairs})
     return _gather(per, total, free, F.col("low"), 2)
 
