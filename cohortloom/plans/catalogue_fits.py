@@ -228,7 +228,7 @@ def logit_loglik_probit(spark, sf_dir):
     return _row(spark, loglik=round(L.logistic(_trials(spark, sf_dir), Model(tuple(_LIN)), "n", "y", "probit", 0).value, 1))
 
 
-# ---- matched sets: B(m, n) and its derivatives over the rows of each set
+# ---- matched sets: B(m, n) and its derivatives over the rows of each set, so the conditional form (threshold None) whatever the cases
 
 
 def _sets(name: str, beta: str, rows: str = "sets") -> str:
@@ -247,18 +247,18 @@ _SETS_NEWTON = f"WITH RECURSIVE {_SETS}, b0 AS (SELECT 0.0::DOUBLE AS beta), " +
 @query(f"WITH RECURSIVE {_SETS}, {_sets('q', '0.1')} SELECT round(loglik, 4) AS loglik, round(score, 4) AS score, round(info, 4) AS information FROM q")
 def matched_sets_loglik(spark, sf_dir):
     """All sets, of one case or many; the information is the observed one, which for log-linear risks is the expected one."""
-    p = L.case_control(prep.strata_with_events(cohort(spark, sf_dir), ["id"], F.col("e") == 1), _XM, "e", ["id"])
+    p = L.case_control(prep.strata_with_events(cohort(spark, sf_dir), ["id"], F.col("e") == 1), _XM, "e", ["id"], threshold=None)
     return _row(spark, loglik=round(p.value, 4), score=round(float(p.gradient[0]), 4), information=round(float(-p.hessian[0, 0]), 4))
 
 
 @query(_SETS_NEWTON + " SELECT 'x' AS covariate, round((SELECT beta FROM b4), 4) AS estimate, round(1 / sqrt(info), 4) AS standard_error FROM s4")
 def casecontrol_fit(spark, sf_dir):
-    return _estimates(spark, fits.fit_case_control(cohort(spark, sf_dir), _XM.at([0.0]), "e", ["id"], control=_TIGHT), 4)
+    return _estimates(spark, fits.fit_case_control(cohort(spark, sf_dir), _XM.at([0.0]), "e", ["id"], threshold=None, control=_TIGHT), 4)
 
 
 @query(f"WITH RECURSIVE {_SETS}, {_sets('q', '0.1')} SELECT round(loglik, 4) AS loglik FROM q")
 def formula_casecontrol_strata(spark, sf_dir):
-    return _row(spark, loglik=round(run("CaseControl_Strata(e, id) ~ loglinear(x, 0)", cohort(spark, sf_dir), [0.1], control=STILL).loglik, 4))
+    return _row(spark, loglik=round(run("CaseControl_Strata(e, id) ~ loglinear(x, 0)", cohort(spark, sf_dir), [0.1], control=STILL, threshold=None).loglik, 4))
 
 
 _UAT = "c.a < t.t AND t.t <= c.b"
@@ -288,7 +288,8 @@ _TSETS = f"{_DOSED}, t AS (SELECT DISTINCT g, b AS t FROM du WHERE e = 1), tr0 A
 
 @query(f"WITH RECURSIVE {_TSETS}, {_sets('q', '0.1')} SELECT round(loglik, 4) AS loglik FROM q")
 def formula_casecontrol_time_strata(spark, sf_dir):
-    return _row(spark, loglik=round(run("case_control_time_strata(a, b, e, g) ~ loglinear(x, 0)", _dosed_users(spark, sf_dir), [0.1], control=STILL).loglik, 4))
+    """The conditional form for every set, as in the SQL: more users, more cases at a time."""
+    return _row(spark, loglik=round(run("case_control_time_strata(a, b, e, g) ~ loglinear(x, 0)", _dosed_users(spark, sf_dir), [0.1], control=STILL, threshold=None).loglik, 4))
 
 
 # ---- formulas

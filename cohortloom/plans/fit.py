@@ -304,8 +304,11 @@ def fit_logistic(df: DataFrame, model: Model, trials: str | None, event: str, li
         rows.unpersist()
 
 
-def fit_case_control(df: DataFrame, model: Model, event: str, strata: Sequence[str] = (), start: str | None = None, end: str | None = None, threshold: int = 50, control: Control | None = None, constraints=None, observed: bool = False) -> Fit:
-    """Matched sets: the whole table, strata, event times, or both. Strata without a case are dropped."""
+def fit_case_control(df: DataFrame, model: Model, event: str, strata: Sequence[str] = (), start: str | None = None, end: str | None = None, threshold: int | None = 50, control: Control | None = None, constraints=None, observed: bool = False) -> Fit:
+    """Matched sets: the whole table, strata, event times, or both. Strata without a case are dropped.
+
+    Sets of more than `threshold` cases take the unconditional form, with None none does.
+    """
     control = control or Control()
     sets = list(strata)
     if start or end:

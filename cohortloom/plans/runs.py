@@ -25,9 +25,11 @@ def _with(model, values, fixed):
     return replace(model, elements=tuple(replace(e, value=float(v), fixed=bool(k)) for e, v, k in zip(model.elements, values, fixed, strict=True)))
 
 
-def run(formula: str, df: DataFrame, values: Sequence[float] | None = None, fixed: Sequence[bool] | None = None, control: fits.Control | None = None, constraints=None, link: str = "odds", threshold: int = 50, observed: bool = False, norm: str | None = None) -> fits.Fit:
+def run(formula: str, df: DataFrame, values: Sequence[float] | None = None, fixed: Sequence[bool] | None = None, control: fits.Control | None = None, constraints=None, link: str = "odds", threshold: int | None = 50, observed: bool = False, norm: str | None = None) -> fits.Fit:
     """Fit whatever family the formula names. observed: standard errors from the observed, not the expected information.
 
+    threshold: matched sets of more cases take the unconditional form; None: none does.
+
     norm: "max" or "mean" divides the columns by their largest absolute value or mean for the fit; estimates,
     gradient, Hessian and covariance come back on the scale of the columns as given.
     """
