@@ -115,10 +115,11 @@ def _step(point: L.Point, control: Control, state: dict, cons, beta: np.ndarray)
     g, h = point.gradient, point.hessian
     if control.method == "newton":
         if cons is not None:
+            #: Onto the plane, then along it: h grows with the rows and a does not, so one system of both loses its small singular values.
             a, b = cons
-            k = len(b)
-            kkt = np.block([[h, a.T], [a, np.zeros((k, k))]])
-            return np.linalg.lstsq(kkt, np.concatenate([-g, b - a @ beta]), rcond=None)[0][: len(g)]
+            onto = a.T @ np.linalg.solve(a @ a.T, b - a @ beta)
+            along = np.linalg.svd(a)[2][len(b) :].T
+            return onto + along @ np.linalg.lstsq(-along.T @ h @ along, along.T @ (g + h @ onto), rcond=None)[0]
         step = np.linalg.lstsq(-h, g, rcond=None)[0] * control.rate
         if step @ g < 0:  # the likelihood is not concave here: turn the directions that lead down
             size, axes = np.linalg.eigh(-h)
