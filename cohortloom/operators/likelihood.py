@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.dist import normal_cdf_col, normal_pdf_col
 from ..functions.risk import Jet, Model, risk
 from ..functions.ship import ship
-from .riskset import competing_sums, risk_sums
+from .riskset import Shape, competing_sums, risk_sums
 
 
 @dataclass
@@ -119,8 +119,9 @@ def logistic(df: DataFrame, model: Model, trials: str | None, event: str, kind:
     return _gather(df, ll, model.free, inside, order)
 
 
-def cox(df: DataFrame, model: Model, start: str, end: str, event: str, strata: Sequence[str] = (), ties: str = "breslow", order: int = 2, weight: str | None = None, parts: bool = False, expected: bool = False):
+def cox(df: DataFrame, model: Model, start: str, end: str, event: str, strata: Sequence[str] = (), ties: str = "breslow", order: int = 2, weight: str | None = None, parts: bool = False, expected: bool = False, shape: Shape | None = None):
     """Partial likelihood by Breslow or Efron, with strata or competing-risk weights. parts: the per-time frame instead of the point.
+    shape: of competing_shape, for weights, if it is known.
 
     The expected information of the reference, sum of d [sum R'R'/R / S0 - S1 S1 / S0^2], is that of Breslow's ties.
     """
@@ -134,7 +135,7 @@ def cox(df: DataFrame, model: Model, start: str, end: str, event: str, strata: S
     if ties == "efron":
         at |= {"E" + k[1:]: c for k, c in sums.items()}
     sums = sums | {"bad": lowest}
-    per = competing_sums(df, start, end, event, sums, F.col(weight), at, strata) if weight else risk_sums(df, start, end, event, sums, at, strata)
+    per = competing_sums(df, start, end, event, sums, F.col(weight), at, strata, shape) if weight else risk_sums(df, start, end, event, sums, at, strata)
     if parts:
         return per
     if ties == "efron":

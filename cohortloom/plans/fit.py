@@ -14,6 +14,7 @@ from ..functions.dist import chi2_tail, normal_cdf
 from ..functions.risk import Model
 from ..operators import likelihood as L
 from ..operators.prep import strata_with_events, truncation_fill
+from ..operators.riskset import competing_shape
 
 
 @dataclass
@@ -271,8 +272,9 @@ def fit_cox(df: DataFrame, model: Model, start: str | None, end: str | None, eve
     whole.unpersist()
     model = model if model.null else _hold_constant(model, ranges)
     try:
-        info = _information(observed, lambda m: L.cox(rows, m, start, end, event, keys, "breslow", 2, weight, expected=True))
-        return _finish("Fine-Gray" if weight else "Cox", lambda m, order: L.cox(rows, m, start, end, event, keys, control.ties, order, weight), model, control, n, constraints, ranges, info, setup={"start": start, "end": end, "event": event, "strata": list(strata)})
+        shape = competing_shape(rows, start, end, event, F.col(weight), keys) if weight else None
+        info = _information(observed, lambda m: L.cox(rows, m, start, end, event, keys, "breslow", 2, weight, expected=True, shape=shape))
+        return _finish("Fine-Gray" if weight else "Cox", lambda m, order: L.cox(rows, m, start, end, event, keys, control.ties, order, weight, shape=shape), model, control, n, constraints, ranges, info, setup={"start": start, "end": end, "event": event, "strata": list(strata)})
     finally:
         rows.unpersist()
 
